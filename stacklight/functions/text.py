@@ -70,10 +70,14 @@ def stem(word: Column) -> Column:
     """The reduced Porter stem. Each stage is a lambda over a one-element array, which keeps the plan of linear size."""
     out = F.array(word)
     for stage in (_plural, _past, _suffix, _final_e):
-        out = F.transform(out, lambda w, stage=stage: F.when(F.octet_length(w) <= 2, w).otherwise(stage(w)))
+        out = F.transform(out, _guarded(stage))
     return out[0]
 
 
+def _guarded(stage: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda w: F.when(F.octet_length(w) <= 2, w).otherwise(stage(w))
+
+
 def no_stem(word: Column) -> Column:
     return word
 
