@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from stacklight.llm import simhash
+from stacklight.llm import line_dedup, oph, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_fingerprints": oph.op3_fingerprints,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_line_dedup": line_dedup.ORACLE}
