@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from stacklight.llm import line_dedup, oph, simhash
+from stacklight.llm import line_dedup, oph, packing, quality, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_fingerprints": oph.op3_fingerprints,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_quality": quality.op5_quality,
+    "op8_packing": packing.op8_packing,
 }
 ORACLES = {"op4_line_dedup": line_dedup.ORACLE}
