@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from stacklight.llm import line_dedup, oph, packing, quality, simhash
+from stacklight.llm import ann, line_dedup, oph, packing, quality, simhash, span_dedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_ann": ann.op2_ann,
     "op3_fingerprints": oph.op3_fingerprints,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality": quality.op5_quality,
     "op8_packing": packing.op8_packing,
+    "op9_span_dedup": span_dedup.op9_span_dedup,
 }
 ORACLES = {"op4_line_dedup": line_dedup.ORACLE}
