@@ -226,13 +226,15 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
             tokens[i] = t
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), np.uint8)
-        for b in batches:
-            lists = b.column(at)
-            data, ends = _gather(flat, starts, lengths, lists.flatten().to_numpy().astype(np.int64))
-            count = np.nan_to_num(np.array(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), float)).astype(np.int64)
-            offsets = np.append(0, np.append(0, ends)[np.cumsum(count)]).astype(np.int64)
-            out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([*b.columns, out.cast(pa.binary())], [*b.schema.names, out_col])
+        for whole in batches:
+            for row in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(row, BLOCK)
+                lists = b.column(at)
+                data, ends = _gather(flat, starts, lengths, lists.flatten().to_numpy().astype(np.int64))
+                count = np.nan_to_num(np.array(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False), float)).astype(np.int64)
+                offsets = np.append(0, np.append(0, ends)[np.cumsum(count)]).astype(np.int64)
+                out = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([*b.columns, out.cast(pa.binary())], [*b.schema.names, out_col])
 
     return encoded.mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stacklight.llm import ann, bpe, line_dedup, oph, packing, quality, simhash, span_dedup
+from stacklight.llm import ann, bpe, licences, line_dedup, oph, packing, quality, simhash, span_dedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_fingerprints": oph.op3_fingerprints,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality": quality.op5_quality,
+    "op6_licences": licences.op6_licences,
     "op7_bpe": bpe.op7_bpe,
     "op8_packing": packing.op8_packing,
     "op9_span_dedup": span_dedup.op9_span_dedup,
