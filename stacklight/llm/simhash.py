@@ -35,13 +35,14 @@ def fingerprint(text: bytes | None, ngram: int = 3, seeds: tuple[int, ...] = (42
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, ngram: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """(id, fp binary)."""
+    """(id, th, fp binary); th, a hash of the text, tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, ngram, seeds) for t in b.column(1).to_pylist()], pa.binary())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array([fingerprint(t, ngram, seeds) for t in b.column("t").to_pylist()], pa.binary())], ["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "id long, fp binary")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t")).mapInArrow(run, "id long, th long, fp binary")
 
 
 def pigeonhole_keys(radius: int) -> Column:
@@ -53,11 +54,34 @@ def pigeonhole_keys(radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), piece[i], piece[j]) for k, (i, j) in enumerate(combinations(range(parts), 2))])
 
 
-def links(fps: DataFrame, keys: Column, radius: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the nodes of `fps` (node long, fp binary, all fp distinct) whose fp differ in at most radius
-    bits and share a key; of each block only as many links as keep its groups connected."""
+def pigeonhole(fps: DataFrame, radius: int) -> DataFrame:
+    """`fps` (node, fp) with each of its pigeonhole_keys() as `key`."""
+    return fps.select("node", "fp", F.explode(F.array_distinct(pigeonhole_keys(radius))).alias("key"))
+
+
+def sampled(fps: DataFrame, width: int, tables: int, bits: int, seed: int = 7) -> DataFrame:
+    """`fps` (node, fp of `width` bits) with a `key` for each table: the fp's bits at `bits` places that the seed draws.
+
+    Fingerprints that differ in a share p of their bits miss each other in all tables with probability (1 - (1 - p) ** bits) ** tables.
+    """
+    rng = np.random.default_rng(seed)
+    places = np.stack([rng.choice(width, bits, replace=False) for _ in range(tables)])
+    weight = 1 << np.arange(bits, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, width // 8), axis=1)
+            for t in range(tables):
+                key = fp[:, places[t]].astype(np.int64) @ weight + (t << bits)
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("fp"), pa.array(key)], ["node", "fp", "key"])
+
+    return fps.select("node", "fp").mapInArrow(run, "node long, fp binary, key long")
+
+
+def links(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between the nodes of `keyed` (node long, fp binary, key long; each fp has one node) whose fp differ in at
+    most radius bits and share a key; of each block only as many links as keep its groups connected."""
     n = F.col("n")
-    keyed = fps.select("node", "fp", F.explode(F.array_distinct(keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = keyed.join(sizes, "key").select("key", "node", "fp", F.ceil(n / block).cast("int").alias("cuts"), F.pmod(F.xxhash64("node"), F.ceil(n / block)).cast("int").alias("cut"))
     # every two cuts of a block meet: a row of cut c goes to the pairs (min(c, d), max(c, d))
@@ -94,19 +118,49 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         yield held
 
 
+def _grouped(fp: DataFrame, keyed, radius: int) -> DataFrame:
+    """`fp` (id, fp) with component_id."""
+    distinct = fp.groupBy("fp").agg(F.min("id").alias("node"))
+    found = connected_components(links(keyed(distinct.where("node is not null")), radius))
+    named = distinct.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return fp.join(named, "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, radius: int = 2) -> DataFrame:
     """(id_col, fingerprint, component_id) of each row of `docs`.
 
-    Fingerprints of 64 bits over word shingles link at `radius` (at most 2) or fewer differing bits; component_id is the
+    Fingerprints of 64 bits over word shingles link at `radius` or fewer differing bits; component_id is the
     smallest id reachable. Only distinct fingerprints are compared, so copies cost nothing. Null, empty and blank texts
     have the zero fingerprint and are linked like any other. A row without an id gets its fingerprint, and the component of the
     rows that share or reach it (null if none has an id). Repeated ids each keep their row. Other columns are not read.
     """
     fp = written(fingerprints(docs, id_col, text_col, ngram), "simhash")
-    distinct = fp.groupBy("fp").agg(F.min("id").alias("node"))
-    found = connected_components(links(distinct.where("node is not null"), pigeonhole_keys(radius), radius))
-    named = distinct.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fp.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    out = _grouped(fp, lambda d: pigeonhole(d, radius), radius)
+    return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+#: Of near_duplicates(): seeds of 64 bits each; bits that two texts of a resemblance of 0.8 differ in with about 90 % probability at
+#: most (256 * acos(2 * 0.8 / 1.8) / pi = 38.8 expected, 5.7 their deviation); tables and bits of their keys.
+WIDE, WIDE_RADIUS, TABLES, TABLE_BITS = (42, 43, 44, 45), 46, 32, 16
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5) -> DataFrame:
+    """(id_col, th, component_id) of each row of `docs`, th a hash of its text, for word shingles that resemble each other by 0.8 or more.
+
+    At that resemblance 64 bits differ too widely to be searched exactly, so fingerprints have 256 bits, candidates share the
+    bits of one of TABLES samples, and every candidate pair is compared in full. Null, empty and repeated rows: as in simhash_groups().
+    """
+    width = 64 * len(WIDE)
+    fp = written(fingerprints(docs, id_col, text_col, ngram, WIDE), "simhash")
+    out = _grouped(fp, lambda d: sampled(d, width, TABLES, TABLE_BITS), WIDE_RADIUS)
+    return out.select(F.col("id").alias(id_col), "th", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that are the smallest id of their near-duplicate group, with their columns. Rows without an id
+    stay unless some row with an id is in their group; rows that repeat an id are one document."""
+    lost = near_duplicates(docs, id_col, text_col).where(f"not (`{id_col}` <=> component_id)").select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th")), "left_anti")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

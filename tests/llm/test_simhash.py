@@ -65,7 +65,7 @@ def test_close_fingerprints(spark, block):
     fps = sorted({int(b) ^ (1 << int(x)) ^ (1 << int(y)) ^ ((1 << int(z)) if z < 60 else 0) for b in base for x, y, z in rng.integers(0, 64, (60, 3))})
     ids = list(range(len(fps)))
     df = spark.createDataFrame([(i, f.to_bytes(8, "big")) for i, f in zip(ids, fps)], "node long, fp binary")
-    pairs = simhash.links(df, simhash.pigeonhole_keys(2), 2, block)
+    pairs = simhash.links(simhash.pigeonhole(df, 2), 2, block)
     got = {r.node: r.root for r in connected_components(pairs).collect()}
     root = ids[:]
     for i in ids:
@@ -97,3 +97,24 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(300)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_duplicates_by_five_words(spark):
+    rng = np.random.default_rng(4)
+    rows, n = [], 0
+    for g in range(25):
+        words = [f"v{x}" for x in rng.integers(0, 5000, 400)]
+        rows.append((n, " ".join(words)))
+        for _ in range(3):
+            copy = list(words)
+            for k in rng.integers(0, 400, 5):  # about 25 of 396 shingles change
+                copy[k] = "edited"
+            n += 1
+            rows.append((n, " ".join(copy)))
+        n += 1
+    rows += [(1000, None), (1001, " "), (None, rows[0][1]), (None, "nothing like it at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x"))
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 4 * g) for g in range(25)] + [(False, 1000), (True, 0)]
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
