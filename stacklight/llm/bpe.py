@@ -20,7 +20,7 @@ from stacklight.llm import vocab
 from stacklight.llm.common import table
 
 #: A chunk of documents has about so many characters; a block of one so many documents.
-CHUNK, BLOCK = 12_000_000, 64
+CHUNK, BLOCK = 32_000_000, 256
 #: Words of a chunk that get short codes, the most frequent first: 128 of one byte, the others of two.
 SHORT = 128 + (1 << 14)
 #: Words travel in so many groups for each shuffle partition; a task holds one group's distinct words at a time.
@@ -36,11 +36,11 @@ def _row(*columns: list) -> pa.RecordBatch:
 
 def _joined(parts: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, parts), "<u4", len(parts))
-    return zlib.compress(len(parts).to_bytes(4, "little") + lengths.tobytes() + b"".join(parts), 1)
+    return zstandard.ZstdCompressor(level=6).compress(len(parts).to_bytes(4, "little") + lengths.tobytes() + b"".join(parts))
 
 
 def _parted(body: bytes) -> list[bytes]:
-    raw = zlib.decompress(body)
+    raw = zstandard.ZstdDecompressor().decompress(body)
     n = int.from_bytes(raw[:4], "little")
     ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
     at = 4 + 4 * n
@@ -101,7 +101,10 @@ def _chunk(chunk: int, ids: list, texts: list[str], find, groups: int) -> Iterat
         docs.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
     words = [w.encode() for w in number]
     group = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % groups
-    order = np.argsort(group, kind="stable")  # words are numbered anew, by group
+    # words are numbered anew: by group, and sorted within, which packs them better
+    groupwise = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(group[groupwise]) != 0)) if len(words) else np.empty(0, np.int64)
+    order = np.array([k for part in np.split(groupwise, cuts[1:]) for k in sorted(part.tolist(), key=words.__getitem__)], np.int64)
     place = np.empty(len(words), np.int64)
     place[order] = np.arange(len(words))
     times = np.zeros(len(words), np.int64)
@@ -112,18 +115,17 @@ def _chunk(chunk: int, ids: list, texts: list[str], find, groups: int) -> Iterat
     top = np.argsort(-times, kind="stable")[: min(SHORT, len(words))]
     code = place + SHORT
     code[top] = np.arange(len(top))
-    starts = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1])) if len(words) else []
     out: list[list] = [[], [], [], [], [], []]
 
     def put(*row) -> None:
         for column, v in zip(out, row):
             column.append(v)
 
-    for s, e in zip(starts, np.append(starts[1:], len(words))):
+    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)]):
         put(int(group[order[s]]), chunk, _WORDS, int(group[order[s]]), int(e - s), _joined([words[k] for k in order[s:e]]))
     # what need not be encoded goes anywhere: the key spreads it
     put(chunk * 31 % groups, chunk, _TOP, len(words), 0, place[top].astype("<u4").tobytes())
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    squeeze = zstandard.ZstdCompressor(level=9).compress
     for at in range(0, len(ids), BLOCK):
         part = docs[at : at + BLOCK]
         codes = code[np.concatenate(part)] if part else np.empty(0, np.int64)
@@ -138,7 +140,7 @@ def _encode(shipped: Broadcast):
     """Word groups become their ids; each distinct word of a group is encoded once. Other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = vocab.encoding(shipped)._encode_single_piece
+        one, width = vocab.encoding(shipped)._encode_single_piece, _width(shipped)
         now, known = None, {}
         for b in batches:
             bodies = b.column("body").to_pylist()
@@ -150,7 +152,7 @@ def _encode(shipped: Broadcast):
                     for w in _parted(bodies[k]):
                         ids = known.get(w)
                         if ids is None:
-                            ids = known[w] = np.array(one(w), "<u4").tobytes()
+                            ids = known[w] = np.array(one(w), width).tobytes()
                         parts.append(ids)
                     bodies[k] = _joined(parts)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(bodies, pa.binary())], b.schema.names)
@@ -158,6 +160,10 @@ def _encode(shipped: Broadcast):
     return run
 
 
+def _width(shipped: Broadcast) -> str:
+    return "<u2" if max(shipped.value.values()) < 1 << 16 else "<u4"
+
+
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pieces `at` of flat (piece k: lengths[k] items from starts[k]), joined, and the pieces' ends."""
     n = lengths[at]
@@ -166,10 +172,11 @@ def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.nd
     return flat[index], ends
 
 
-def _assemble():
+def _assemble(shipped: Broadcast):
     """(id, ids) of each document, from its chunk's encoded words (which come first), short codes and blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(_width(shipped))
         chunk, parts, flat, starts, lengths, top = None, [], None, None, None, None
         for b in batches:
             for c, kind, part, n, body in zip(*(b.column(x).to_pylist() for x in ("chunk", "kind", "part", "n", "body"))):
@@ -181,9 +188,9 @@ def _assemble():
                     words = list(chain.from_iterable(parts))
                     if len(words) != part:
                         raise ValueError("a chunk's words are not all there")
-                    lengths = np.fromiter(map(len, words), np.int64, len(words)) // 4
+                    lengths = np.fromiter(map(len, words), np.int64, len(words)) // width.itemsize
                     starts = np.cumsum(lengths) - lengths
-                    flat, top, parts = np.frombuffer(b"".join(words), "<u4").astype(np.int32), np.frombuffer(body, "<u4").astype(np.int64), []
+                    flat, top, parts = np.frombuffer(b"".join(words), width).astype(np.int32), np.frombuffer(body, "<u4").astype(np.int64), []
                 else:
                     raw = zstandard.ZstdDecompressor().decompress(body)
                     count = np.frombuffer(raw, "<i8", n, 8 * n)
@@ -211,7 +218,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     moved = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(_split(groups, pattern), _MOVED)
     encoded = moved.repartition("key").sortWithinPartitions("key").mapInArrow(_encode(shipped), _MOVED).drop("key")
     whole = encoded.repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
-    return whole.mapInArrow(_assemble(), "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return whole.mapInArrow(_assemble(shipped), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
