@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import ascii_lower, table
+from stacklight.llm.common import ascii_lower, table, written
 
 #: 2**BIN_BITS bins; each keeps the LOW low-order bits of its smallest shingle hash.
 BIN_BITS, LOW = 8, 8
@@ -122,7 +122,8 @@ def with_first_of_next(docs: DataFrame) -> DataFrame:
     before = heads.withColumn("prev", F.lag("sub").over(Window.partitionBy("rng").orderBy("sub")))
     before = before.join(F.broadcast(around), "rng").crossJoin(F.broadcast(final))  # RANGES + 1 rows and one row
     to = F.when(F.col("prev").isNotNull(), F.struct(F.col("rng").alias("rng"), F.col("prev").alias("last"))).otherwise(F.coalesce("before", "final"))
-    before = before.select(F.col("head.id").alias("hid"), F.col("head.th").alias("hth"), to.alias("to"))
+    # written, so that its size is known before the texts would be shuffled to meet it
+    before = written(before.select(F.col("head.id").alias("hid"), F.col("head.th").alias("hth"), to.alias("to")), "heads")
     extra = d.join(before, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth"))).select("id", "text", "th", F.col("to.rng").alias("rng"), F.col("to.last").alias("sub"))
     extra = extra.dropDuplicates(["rng", "sub"])
     return d.withColumn("extra", F.lit(0)).unionByName(extra.withColumn("extra", F.lit(1)))
