@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stacklight.llm import ann, bpe, licences, line_dedup, oph, packing, quality, simhash, span_dedup
+from stacklight.llm import ann, bpe, licences, line_dedup, oph, packing, quality, simhash, span_dedup, suffix_dedup
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_packing": packing.op8_packing,
     "op9_span_dedup": span_dedup.op9_span_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {"op4_line_dedup": line_dedup.ORACLE}
