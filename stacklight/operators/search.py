@@ -75,3 +75,70 @@ def top(scored: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     page = scored.orderBy(F.desc("score"), F.asc("doc_id")).offset(offset).limit(limit)
     w = Window.orderBy(F.desc("score"), F.asc("doc_id"))
     return page.select((F.row_number().over(w) + offset).cast("long").alias("rank"), "doc_id", "score")
+
+
+def corpus_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_count, total_len, avg_len), one row."""
+    return doc_lengths(docs, id_col, text_col).agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"), F.avg("dl").alias("avg_len"))
+
+
+def document_frequency(posts: DataFrame) -> DataFrame:
+    """(term, df, cf) of postings."""
+    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def idf(frequency: DataFrame, doc_count: DataFrame) -> DataFrame:
+    n = F.col("doc_count")
+    return frequency.crossJoin(F.broadcast(doc_count.select("doc_count"))).select("term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))  # one row
+
+
+def index_scores(posts: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
+    """scores() from a stored index: only postings of the query's terms are read and joined with their documents' lengths."""
+    spark = posts.sparkSession
+    weights: dict[str, int] = {}
+    for t in terms:
+        weights[t] = weights.get(t, 0) + 1
+    asked = spark.createDataFrame(list(weights.items()) or [("", 0)], "term string, k int")
+    mine = posts.where(F.col("term").isin(*weights) if weights else F.lit(False))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    freq = mine.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(asked), "term")  # as many rows as terms
+    rows = mine.join(F.broadcast(freq), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row
+    tf = F.col("tf")
+    part = F.col("k") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return rows.groupBy("doc_id").agg(F.sum(part).alias("score"))
+
+
+def without(scored: DataFrame, docs: DataFrame, not_terms: list[str], stemmer: T.Stemmer = T.stem, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`scored` less the documents that hold one of not_terms."""
+    if not not_terms:
+        return scored
+    return scored.join(scores(docs, not_terms, stemmer, id_col, text_col).select("doc_id"), "doc_id", "left_anti")
+
+
+def search(docs: DataFrame, query: str, offset: int = 0, limit: int = 20, stem_query: bool = False, apply_not: bool = False, stemmer: T.Stemmer = T.stem, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rank, doc_id, score, snippet, estimated) of a page of results for a typed query.
+
+    By default query words are not stemmed though the indexed ones are, and words to leave out are ignored. `estimated` is the
+    number of hits up to the page's end. Texts join after the cut, so only a page of them is read for snippets.
+    """
+    from stacklight.functions.query import parse_query
+    from stacklight.functions.snippet import snippet
+
+    parsed = parse_query(query)
+    terms = parsed.terms
+    if stem_query and terms:
+        spark = docs.sparkSession
+        frame = spark.createDataFrame([(i, t) for i, t in enumerate(terms)], "i int, t string")
+        terms = [r.s for r in frame.select("i", stemmer(F.col("t")).alias("s")).orderBy("i").collect()]
+    scored = scores(docs, terms, stemmer, id_col, text_col)
+    if apply_not:
+        scored = without(scored, docs, parsed.not_terms, stemmer, id_col, text_col)
+    page = top(scored, limit, offset)
+    estimated = scored.limit((20 if limit <= 0 else limit) + offset).agg(F.count("*").alias("estimated"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"))
+    return texts.join(F.broadcast(page), "doc_id").select("rank", "doc_id", "score", snippet(F.col("content"), parsed.terms).alias("snippet")).crossJoin(F.broadcast(estimated)).orderBy("rank")  # a page; one row
+
+
+def suggest(titles: DataFrame, prefix: str, limit: int = 10, title_col: str = "title", order_col: str = "pos") -> DataFrame:
+    """The first titles, in index order, that begin with `prefix`, case aside."""
+    return titles.where(F.lower(F.col(title_col)).startswith(prefix.lower())).orderBy(order_col).limit(10 if limit <= 0 else limit)
