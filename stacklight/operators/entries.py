@@ -87,7 +87,7 @@ def cluster_order(entries: DataFrame) -> DataFrame:
 def metadata(entries: DataFrame, blobs: DataFrame) -> DataFrame:
     """(archive_id, metadata map) of the M namespace."""
     rows = entries.where("namespace = 'M' and entry_type = 'content'").join(blobs.select("archive_id", "cluster", "blob", "data"), ["archive_id", "cluster", "blob"])
-    pair = F.struct(F.col("path"), F.decode("data", "UTF-8"))
+    pair = F.struct(F.col("path"), F.make_valid_utf8(F.col("data").cast("string")))
     return rows.groupBy("archive_id").agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("metadata"))
 
 

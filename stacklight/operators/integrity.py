@@ -128,7 +128,7 @@ def report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All checks over the tables of archives: checksum, broken_links, redirect_loops, redundant, errors, summary."""
     entries, mimes, archives = tables["entries"], tables["mime_types"], tables["archives"]
     contents = E.items(entries, tables["blobs"])
-    html = contents.where("mime like 'text/html%'").withColumn("html", F.decode("data", "UTF-8"))
+    html = contents.where("mime like 'text/html%'").withColumn("html", F.make_valid_utf8(F.col("data").cast("string")))
     broken = broken_links(html, entries)
     loops = E.loop_reports(entries.where("entry_type = 'redirect'").select(F.col("entry_idx").alias("src"), F.col("redirect_idx").alias("dst")))
     same = redundant(contents)
