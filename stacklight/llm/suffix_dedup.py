@@ -8,6 +8,7 @@ of positions that share it (a segment); segments that meet another go on with lo
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from stacklight.llm.common import table, written
 
 THRESHOLD = 100
 #: Bytes of the rank that leads a segment (a power of two), and positions of a part of a segment in the second sort.
-GRAM, PART = 32, 16
+GRAM, PART = 32, 24
 #: Bytes that are ranked at once; longer texts are taken in pieces that overlap.
 PIECE = 1 << 21
 
@@ -172,7 +173,7 @@ def _settled_here(lead: np.ndarray, content: np.ndarray, place: tuple, pos: np.n
     first = order[head][np.cumsum(head) - 1]
     # an equal row of the same id and text is the same place, not an earlier one
     twin = (id_[order] == id_[first]) & (known[order] == known[first]) & (th[order] == th[first]) & (pos[order] == pos[first])
-    keep, gone = order[head], order[~head & ~twin]
+    keep, gone = np.sort(order[head]), order[~head & ~twin]  # in the order of the texts, which packs better
     at = lambda k: (id_[k], known[k], th[k])
     yield _batch(lead[keep].view(np.int64), content[keep].view(np.int64), at(keep), pos[keep], n[keep], RUN if kind is None else kind[keep], piece.take(pa.array(keep)) if piece is not None else None)
     if len(gone):
@@ -372,7 +373,9 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _released(df: DataFrame) -> DataFrame:
-    """Lets Spark drop the shuffle files of the steps before `df`, which is written: it does so once its driver collects garbage."""
+    """Lets Spark drop the shuffle files of the steps before `df`, which is written: it does so once its driver collects garbage,
+    and the last step is garbage when its end has been told to all listeners."""
+    time.sleep(0.5)
     df.sparkSession._jvm.System.gc()
     return df
 
