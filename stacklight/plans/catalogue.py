@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from stacklight.plans import page_queries, search_queries  # noqa: F401
+    from stacklight.plans import container_queries, page_queries, search_queries  # noqa: F401
