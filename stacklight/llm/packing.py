@@ -63,6 +63,54 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def filled(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The bin of each item when each bin takes the longest item left and then the lengths whose sum comes closest to the room,
+    longer ones first. Bits of `reach` are the sums that can be had; its values before each length tell which were used."""
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, n in enumerate(lengths.tolist()):
+        stacks[n].append(i)
+    left = sum(1 << n for n, s in enumerate(stacks) if s)
+    bins, k = np.empty(len(lengths), np.int64), 0
+
+    def take(n: int) -> None:
+        nonlocal left
+        bins[stacks[n].pop()] = k
+        if not stacks[n]:
+            left ^= 1 << n
+
+    while left:
+        n = left.bit_length() - 1
+        take(n)
+        room = capacity - n
+        all_ = (1 << (room + 1)) - 1
+        reach, steps, sizes = 1, [], left & all_
+        while sizes and not reach >> room & 1:
+            n = sizes.bit_length() - 1
+            sizes ^= 1 << n
+            for _ in range(min(len(stacks[n]), room // n)):
+                more = (reach | reach << n) & all_
+                if more == reach:
+                    break
+                steps.append((n, reach))
+                reach = more
+        want = reach.bit_length() - 1
+        for n, before in reversed(steps):
+            if not before >> want & 1:
+                take(n)
+                want -= n
+        k += 1
+    return bins
+
+
+def repacked(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Best-fit decreasing; where it misses the lower bound, filled() too, and the better of both."""
+    best = best_fit(lengths, capacity)
+    if not len(best) or best.max() + 1 <= lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+        return best
+    again = filled(lengths, capacity)
+    return again if again.max() < best.max() else best
+
+
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """Bins that items need at least; counts[x]: items of length x. The largest bound of two families of dual-feasible
     functions: thresholds (large items count as a whole bin, small ones as nothing) and roundings by k."""
@@ -115,7 +163,7 @@ def _packer(cols: list[str], capacity: int, r: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = group[cols].reset_index(drop=True)
         lengths = out["length"].to_numpy(np.int64)
-        bins = best_fit(lengths, capacity)
+        bins = repacked(lengths, capacity)
         order = np.argsort(bins, kind="stable")
         before = np.cumsum(lengths[order]) - lengths[order]
         first = np.flatnonzero(np.append(True, bins[order][1:] != bins[order][:-1]))
