@@ -17,7 +17,7 @@ WORDS = 5
 DRAWS = 16
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows of a group whose successors one task finds, about.
-GROUP = 2048
+GROUP = 1024
 RANGES = 256
 
 
