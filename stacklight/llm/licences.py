@@ -128,14 +128,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
     few = few.join(F.broadcast(few.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)), "id")  # at most `sample` ids
     seen = few.select(F.explode(F.split("t", "\n")).alias("p")).where("length(p) > 0")
-    alike = [_share(t)(F.col("have")) for ts in template_pairs(spark).values() for t in ts]
-    seen = seen.withColumn("have", pairs(words(F.col("p")))).where(F.greatest(*alike) < 0.5).orderBy(F.xxhash64("p"), "p").limit(10 * sample).select(F.lit(0).alias("label"), "p")
+    known_pairs = [t for ts in template_pairs(spark).values() for t in ts]
+    some = F.size(F.array_intersect(_numbers(sorted({h for t in known_pairs for h in t}), "bigint"), F.col("have")))
+    alike = F.when(some > 1, F.greatest(*[_share(t)(F.col("have")) for t in known_pairs])).otherwise(0.0)  # no template has a single pair
+    seen = seen.withColumn("have", pairs(words(F.col("p")))).where(alike < 0.5).orderBy(F.xxhash64("p"), "p").limit(10 * sample).select(F.lit(0).alias("label"), "p")
     rows = given.unionByName(seen).select("label", let(words(F.col("p")), features).cast("array<string>").alias("f")).where("size(f) > 0")
     rows = written(rows, "notices")
     rows = rows.join(F.broadcast(rows.groupBy("label").count()), "label")  # one row for each family
     rows = rows.withColumn("w", F.when(F.col("label") == 0, len(TEMPLATES) * 200.0).otherwise(200.0) / F.col("count")).coalesce(1)
     counter = CountVectorizer(inputCol="f", outputCol="features", minDF=2, binary=True, vocabSize=DIMENSION).fit(rows)
-    model = LogisticRegression(weightCol="w", family="multinomial", regParam=2e-4, elasticNetParam=1.0, standardization=False, maxIter=60).fit(counter.transform(rows).select("label", "features", "w"))
+    model = LogisticRegression(weightCol="w", family="multinomial", regParam=2e-4, elasticNetParam=1.0, standardization=False, maxIter=30).fit(counter.transform(rows).select("label", "features", "w"))
     matrix = model.coefficientMatrix.toArray()
     k = len(families)
     row, weights = [0] * DIMENSION, [0.0] * k
