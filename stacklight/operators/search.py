@@ -34,10 +34,21 @@ def postings(docs: DataFrame, stemmer: T.Stemmer = T.stem, id_col: str = "doc_id
     return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def word_forms(tokens: DataFrame, terms: list[str], stemmer: T.Stemmer = T.stem) -> dict[str, list[str]]:
+    """The distinct tokens of each term: inflections, so a few for each. Stems begin like their words, but for the last letter, so
+    only such words are stemmed."""
+    near = F.lit(False)
+    for h in sorted({t[: max(1, len(t.rstrip()) - 1)] for t in terms}):
+        near = near | F.col("token").startswith(h)
+    found = tokens.where(near).distinct().select("token", stemmer(F.col("token")).alias("term")).where(F.col("term").isin(*terms)).collect()
+    return {t: sorted(r.token for r in found if r.term == t) for t in terms if any(r.term == t for r in found)}
+
+
 def scores(docs: DataFrame, terms: list[str], stemmer: T.Stemmer = T.stem, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each document that holds one of the terms. A term given twice counts twice.
 
-    One pass over the texts: each document's tokens are stemmed by its own distinct words, and only the few terms of the query leave the scan.
+    The corpus' words that stem to the query's terms are looked up first; the second pass over the texts only compares words, and
+    counts are pre-aggregated before they are shuffled.
     """
     weights: dict[str, int] = {}
     for t in terms:
@@ -46,12 +57,13 @@ def scores(docs: DataFrame, terms: list[str], stemmer: T.Stemmer = T.stem, id_co
     base = docs.select(F.col(id_col).alias("doc_id"), toks.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("token"))
     if not weights:
         return base.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-    # Only a token that begins like a query term can stem to it: stems never grow and change no first letters of the kept part but the last.
-    heads = {t[: max(1, len(t.rstrip()) - 1)] for t in weights}
-    near = F.lit(False)
-    for h in sorted(heads):
-        near = near | F.col("token").startswith(h)
-    term = F.when(near, stemmer(F.col("token")))
+    if stemmer is T.no_stem:
+        term = F.col("token")
+    else:
+        forms = word_forms(base.select("token"), list(weights), stemmer)
+        term = F.lit(None).cast("string")
+        for t, words in forms.items():
+            term = F.when(F.col("token").isin(*words), t).otherwise(term)
     counts = [F.count_if(F.col("term") == t).alias(f"tf{i}") for i, t in enumerate(weights)]
     per_doc = base.withColumn("term", term).groupBy("doc_id").agg(F.max("dl").alias("dl"), *counts)
     stats = per_doc.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(weights))])
