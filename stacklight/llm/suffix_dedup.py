@@ -144,6 +144,8 @@ _TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()
 #: Kinds of rows: a run of positions to compare, bytes that are known to repeat, a run that needs longer strings, one that may
 #: hold a string twice and so needs them in any case.
 RUN, GONE, FINER, TWICE = 0, 1, 2, 3
+#: Bits of a length in a shuffled row; longer stretches of repeated bytes are told in several rows.
+N_BITS = 26
 
 
 def _batch(lead, content, place: tuple, pos, n, kind: int | np.ndarray, piece=None) -> pa.RecordBatch:
@@ -179,6 +181,12 @@ def _settled_here(lead: np.ndarray, content: np.ndarray, place: tuple, pos: np.n
     if len(gone):
         docs, of = np.unique(np.stack([id_[gone], known[gone].astype(np.int64), th[gone]], 1), axis=0, return_inverse=True)
         r, start, length = _merged(of.reshape(-1), pos[gone], n[gone] + np.int64(threshold - 1))
+        most = (1 << N_BITS) - 1
+        if (parts := -(-length // most)).max() > 1:
+            step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            r, end = np.repeat(r, parts), np.repeat(start + length, parts)
+            start = np.repeat(start, parts) + step * most
+            length = np.minimum(most, end - start)
         yield _batch(start * 7919 + docs[r, 2], docs[r, 2], (docs[r, 0], docs[r, 1] == 1, docs[r, 2]), start, length, GONE)
 
 
@@ -212,7 +220,7 @@ def _ranker(threshold: int, gram: int):
 
 
 def _settler(threshold: int):
-    """Rows sorted by lead, content, n and place. Of equal runs all but the first place lose their bytes; the first of each
+    """Rows sorted by lead, content and place. Of equal runs all but the first place lose their bytes; the first of each
     goes on if its lead has other contents too, or if it may hold a string twice. A lead with one content only is done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +300,7 @@ def _parter(threshold: int, gram: int, part: int):
                 m = np.diff(np.append(head, len(row)))
                 p, q, j, row = p[head], q[head], j[head], row[head]
                 core = _pair(name_of(doubled, threshold - part + 1, q - j * part), j.astype(np.uint64), 3)
-                content = _pair(name_of(doubled, threshold, p), name_of(doubled, threshold, p + m - 1), 2)
+                content = _pair(name_of(doubled, threshold, p), name_of(doubled, threshold, p + m - 1) + m.astype(np.uint64), 2)
                 pieces = pa.array([joined[x:y] for x, y in zip(p.tolist(), (p + m + threshold - 1).tolist())], pa.binary())
                 place = tuple(x[of[row]] for x in _places(b))
                 yield from _settled_here(core, content, place, pos[row] + p - start[row], m, threshold, pieces)
@@ -354,15 +362,20 @@ def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col:
     text, ids = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
     base = docs.select(ids.alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"))
 
-    def sorted_ranks(rows: DataFrame) -> DataFrame:
-        rows = rows.repartition("lead").sortWithinPartitions("lead", "content", "n", F.col("id").asc_nulls_last(), "th", "pos")
+    def sorted_ranks(rows: DataFrame, *more: str) -> DataFrame:
+        # place, length and kind travel in one number; content names the length too
+        packed = rows.select("lead", "content", "id", "th", (F.shiftleft("pos", N_BITS + 2) + F.shiftleft(F.col("n").cast("long"), 2) + F.col("kind")).alias("meta"), *more)
+        packed = packed.repartition("lead").sortWithinPartitions("lead", "content", F.col("id").asc_nulls_last(), "th", "meta")
+        bits = lambda from_, n: F.shiftright("meta", from_).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+        rest = [F.col(m) for m in more] or [F.lit(None).cast("binary").alias("piece")]
+        rows = packed.select("lead", "content", "id", "th", F.shiftright("meta", N_BITS + 2).alias("pos"), bits(2, N_BITS).alias("n"), bits(0, 2).alias("kind"), *rest)
         return _released(written(rows.mapInArrow(_settler(threshold), _FOUND), "ranks"))
 
     first = sorted_ranks(base.mapInArrow(_ranker(threshold, gram), _FOUND))
     runs = first.where(F.col("kind") == FINER).groupBy("id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
     runs = runs.withColumnsRenamed({"id": "id2", "th": "th2"})
     held = base.join(runs, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", "t", "runs")
-    second = sorted_ranks(held.mapInArrow(_parter(threshold, gram, PART), _FOUND))
+    second = sorted_ranks(held.mapInArrow(_parter(threshold, gram, PART), _FOUND), "piece")
     third = sorted_ranks(second.where(F.col("kind") == FINER).select("id", "th", "pos", "n", "piece").mapInArrow(_stringer(threshold), _FOUND))
     gone = first.unionByName(second).unionByName(third).where(F.col("kind") == GONE).select("id", "th", "pos", "n")
     gone = _released(written(gone.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "gone"))
