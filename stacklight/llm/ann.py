@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stacklight.llm.common import table, written
 
 #: Hash tables; cells of each that a query looks into; rounds of signs and Hadamard transform of a pseudo-rotation.
-TABLES, PROBES, ROUNDS = 16, 5, 3
+TABLES, PROBES, ROUNDS = 20, 6, 3
 #: Vectors of a cell that one group compares with the cell's queries; larger cells are split among several groups.
 GROUP = 8192
 #: Queries and vectors that are multiplied at once.
