@@ -376,6 +376,12 @@ SCHEMAS = {
 }
 
 
+def embedded(entries: DataFrame, blobs: DataFrame, path: str = "fulltext/xapian") -> DataFrame:
+    """(archive_id, data) of the databases that archives hold under X/path."""
+    at = entries.where((F.col("namespace") == "X") & (F.col("path") == path) & (F.col("entry_type") == "content")).select("archive_id", "cluster", "blob")
+    return at.join(blobs, ["archive_id", "cluster", "blob"]).select("archive_id", "data")
+
+
 def table(blobs: DataFrame, name: str) -> DataFrame:
     """One of SCHEMAS' tables from rows (archive_id, data) of embedded databases; each is read by one task."""
 

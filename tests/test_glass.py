@@ -91,3 +91,13 @@ def test_tables(spark):
     assert [tuple(r) for r in G.table(blobs, "docdata").collect()] == [("x.zim", 1, "C/a"), ("x.zim", 2, "C/b")]
     assert G.table(blobs, "metadata").first().value == "full" and G.table(blobs, "version").first().total_doc_len == 4
     assert G.term_stats(G.table(blobs, "postings")).first().coll_freq == 4
+
+
+def test_database_embedded_in_an_archive(spark, tmp_path):
+    from tests.test_container import archive
+
+    data = G.build_database([("hello", 1, 3)], {1: "C/a.html"})
+    t = archive(spark, tmp_path / "x.zim", [("C", "a.html", "a", "text/html", b"hello", None), ("X", "fulltext/xapian", "", "application/octet-stream+xapian", data, None)])
+    found = G.embedded(t["entries"], t["blobs"])
+    assert [tuple(r) for r in G.table(found, "postings").collect()] == [("x.zim", "hello", 1, 3)]
+    assert [tuple(r) for r in G.table(found, "docdata").collect()] == [("x.zim", 1, "C/a.html")]
