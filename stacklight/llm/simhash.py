@@ -139,9 +139,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-#: Of near_duplicates(): seeds of 64 bits each; bits that two texts of a resemblance of 0.8 differ in with about 90 % probability at
-#: most (256 * acos(2 * 0.8 / 1.8) / pi = 38.8 expected, 5.7 their deviation); tables and bits of their keys.
-WIDE, WIDE_RADIUS, TABLES, TABLE_BITS = (42, 43, 44, 45), 46, 32, 16
+#: Of near_duplicates(): seeds of 64 bits each; the bits that two texts may differ in, at a resemblance of 0.8 met by about 95 % of pairs
+#: (256 * acos(2 * 0.8 / 1.8) / pi = 38.8 are expected, 5.7 is their deviation); tables and the bits of their keys, of which such a
+#: pair shares one with a probability of 0.97.
+WIDE, WIDE_RADIUS, TABLES, TABLE_BITS = (42, 43, 44, 45), 48, 48, 16
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5) -> DataFrame:
