@@ -81,9 +81,10 @@ def sampled(fps: DataFrame, width: int, tables: int, bits: int, seed: int = 7) -
 def links(keyed: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the nodes of `keyed` (node long, fp binary, key long; each fp has one node) whose fp differ in at
     most radius bits and share a key; of each block only as many links as keep its groups connected."""
-    n = F.col("n")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(sizes, "key").select("key", "node", "fp", F.ceil(n / block).cast("int").alias("cuts"), F.pmod(F.xxhash64("node"), F.ceil(n / block)).cast("int").alias("cut"))
+    # only large blocks are looked up, from a table whose size is known, so that fingerprints are shuffled once
+    large = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "blocks")
+    cuts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1))
+    rows = keyed.join(large, "key", "left").select("key", "node", "fp", cuts.cast("int").alias("cuts"), F.pmod(F.xxhash64("node"), cuts).cast("int").alias("cut"))
     # every two cuts of a block meet: a row of cut c goes to the pairs (min(c, d), max(c, d))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     rows = rows.select(F.xxhash64("key", F.least("cut", "other"), F.greatest("cut", "other")).alias("key"), "node", "fp")
