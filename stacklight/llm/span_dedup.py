@@ -1,4 +1,4 @@
-"""Substring deduplication by sliding spans of consecutive sentences."""
+"""Substring deduplication by sliding spans of consecutive sentences, long ones in pieces whose ends the words around them define."""
 
 from __future__ import annotations
 
@@ -15,52 +15,117 @@ from stacklight.llm.common import table, written
 
 #: A span is the shortest run of at least so many sentences that has at least so many words.
 SENTENCES, WORDS = 2, 25
-#: Longer sentences are cut after so many words, so that text without full stops has sentences too.
-LONGEST = 40
+#: Sentences of more words are cut before each word that is the smallest, by a hash of it and the word before, among WINDOW
+#: consecutive ones. A cut depends on the words around it alone, so a passage is cut alike wherever it begins: at most
+#: WHOLE words at either end of a repeated run are cut in another way, and any run of WORDS + 2 * WHOLE words holds a span.
+WHOLE, WINDOW = 12, 6
 #: Documents whose repeats among each other are settled before the shuffle.
 TOGETHER = 2000
 
-_END = re.compile(rb"[.!?]+[\x20\x09-\x0d]+|[\x20\x09-\x0d]*\n[\x20\x09-\x0d]*")
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_END = re.compile(rb"(?:[.!?]+[\x20\x09-\x0d]+|\xe3\x80\x82[\x20\x09-\x0d]*|\xef\xbc[\x81\x9f][\x20\x09-\x0d]*|[\x20\x09-\x0d]*\n[\x20\x09-\x0d]*)")
+#: Characters of scripts without blanks: Chinese and Japanese, each a word; Thai, Lao, Burmese and Khmer, of which FOUR are one.
+_HAN = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
+_THAI = re.compile(rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80-\x82]|[\x9e\x9f])[\x80-\xbf]")
+_WIDE = re.compile(rb"[\xe0\xe1\xe3-\xe9\xf0]")
+FOUR = 4
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_POWERS = np.ones(1, np.uint32)
+_ODD, _ODD_INVERSE = 0x9E3779B1, pow(0x9E3779B1, -1, 1 << 32)
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(starts in bytes, quarters of a word) of the words."""
+    raw = np.frombuffer(text, np.uint8)
+    begins = ~_BLANK[raw]
+    begins[1:] &= _BLANK[raw[:-1]]
+    quarters = None
+    if _WIDE.search(text):
+        quarters = np.full(len(raw) + 1, FOUR, np.int8)
+        solid = np.append(~_BLANK[raw], False)
+        for kind, worth in ((_HAN, FOUR), (_THAI, 1)):
+            for m in kind.finditer(text):
+                begins[m.start()] = True
+                quarters[m.start()] = worth
+                if solid[m.end()]:
+                    begins[m.end()] = True
+    at = np.flatnonzero(begins)
+    return at, np.full(len(at), FOUR, np.int64) if quarters is None else quarters[at].astype(np.int64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """Rows of _ODD ** i and _ODD_INVERSE ** i."""
+    global _POWERS
+    if _POWERS.ndim == 1 or _POWERS.shape[1] < n:
+        size = max(1 << 16, 2 * n)
+        _POWERS = np.stack([np.cumprod(np.append(np.uint32(1), np.full(size - 1, x, np.uint32)), dtype=np.uint32) for x in (_ODD, _ODD_INVERSE)])
+    return _POWERS
+
+
+def _word_hashes(text: bytes, starts: np.ndarray) -> np.ndarray:
+    """uint32 of each word; blanks and the case of A-Z do not count."""
+    raw = np.frombuffer(text.lower(), np.uint8)
+    powers = _powers(len(raw))
+    sums = np.append(np.uint32(0), np.cumsum(np.where(_BLANK[raw], np.uint32(0), (raw + np.uint32(1)) * powers[0, : len(raw)]), dtype=np.uint32))
+    h = (sums[np.append(starts[1:], len(raw))] - sums[starts]) * powers[1, starts]
+    return _mixed(h)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return h ^ (h >> np.uint32(16))
+
+
+def _pieces(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ends in bytes, quarters of a word before each) of the sentences and the pieces of long ones."""
+    ends = np.array([m.end() for m in _END.finditer(text)], np.int64)
+    if len(text) and (not len(ends) or ends[-1] < len(text)):
+        ends = np.append(ends, len(text))
+    starts, quarters = _words(text)
+    total = np.append(0, np.cumsum(quarters))
+    to = np.searchsorted(starts, ends)  # words before each end
+    length = np.diff(to, prepend=0)
+    if (length > WHOLE).any():
+        h = _word_hashes(text, starts)
+        key = _mixed(np.append(np.uint32(0), h[:-1]) * np.uint32(0x2C1B3C6D) + h)
+        sentence = np.repeat(np.arange(len(ends)), length)
+        # a window holds no first word of a sentence, before which there is a cut anyway
+        windows = np.lib.stride_tricks.sliding_window_view(key, WINDOW)
+        least = windows.min(1)
+        first = np.append(True, sentence[1:] != sentence[:-1])[: len(least)]
+        whole = (length[sentence] > WHOLE)[: len(least)] & ~first & (sentence[: len(least)] == sentence[WINDOW - 1 :])
+        cut = np.zeros(len(key), bool)
+        for j in range(WINDOW):
+            cut[j : j + len(least)] |= whole & (windows[:, j] == least)
+        ends = np.union1d(ends, starts[cut])
+        to = np.searchsorted(starts, ends)
+    return ends, total[to]
 
 
 def sentences(text: bytes) -> list[int]:
-    """Ends of the sentences, in bytes; each takes the blanks after it, and together they are the whole text."""
-    ends, at = [], 0
-    for m in _END.finditer(text):
-        at = _cut(text, at, m.end(), ends)
-    if at < len(text):
-        _cut(text, at, len(text), ends)
-    return ends
-
-
-def _cut(text: bytes, at: int, to: int, ends: list[int]) -> int:
-    if to - at > 2 * LONGEST:
-        for k, m in enumerate(_WORD.finditer(text, at, to)):
-            if k and k % LONGEST == 0:
-                ends.append(m.start())
-    ends.append(to)
-    return to
+    """Ends of the sentences and of the pieces of long ones, in bytes; each takes the blanks after it, and together they are the whole text."""
+    return _pieces(text)[0].tolist()
 
 
 def spans(text: bytes, min_sentences: int = SENTENCES, min_words: int = WORDS) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, sentences, 128-bit hash) of the span that begins at each sentence. Blanks and the case of A-Z do not count."""
-    counts, hashes, at = [], [], 0
-    for end in sentences(text):
-        words = text[at:end].lower().split()
-        counts.append(len(words))
-        hashes.append(xxhash.xxh3_128_digest(b" ".join(words)))
+    ends, quarters = _pieces(text)
+    before = np.append(0, quarters)
+    to = np.maximum(np.searchsorted(before, before[:-1] + FOUR * min_words), np.arange(len(ends)) + min_sentences)
+    if not len(to) or to[0] > len(ends):
+        return
+    lower, at, hashes = text.lower(), 0, []
+    for end in ends.tolist():
+        hashes.append(xxhash.xxh3_128_digest(b" ".join(lower[at:end].split())))
         at = end
-    before = [0, *np.cumsum(counts).tolist()]
-    to = 0
-    for i in range(len(counts)):
-        to = max(to, i + min_sentences)
-        while to <= len(counts) and before[to] - before[i] < min_words:
-            to += 1
-        if to > len(counts):
+    joined = b"".join(hashes)
+    for i, (last, some) in enumerate(zip(to.tolist(), (before[1:] > before[:-1]).tolist())):
+        if last > len(hashes):
             return
-        if counts[i]:
-            yield i, to - i, xxhash.xxh3_128_digest(b"".join(hashes[i:to]))
+        if some:
+            yield i, last - i, xxhash.xxh3_128_digest(joined[16 * i : 16 * last])
 
 
 def _span_rows(min_sentences: int, min_words: int):
@@ -126,7 +191,8 @@ def _cutter(text_at: int, gone_at: int):
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = SENTENCES, min_words: int = WORDS) -> DataFrame:
     """`docs` with text_col cut to the sentences that stay, and with n_sentences and n_removed.
 
-    The span that begins at a sentence is the shortest run of at least min_sentences sentences with min_words words. Each
+    Sentences of more than WHOLE words are cut into pieces, which count as sentences here. The span that begins at a sentence is
+    the shortest run of at least min_sentences sentences with min_words words; any run of min_words + 2 * WHOLE words holds one. Each
     occurrence of a span but the first, by id and place, loses its sentences. Repeats among a batch's documents are
     settled before the shuffle, so a passage that a third of all documents share sends one row for each batch.
     Null and empty texts have no sentences and become empty. Rows without an id yield to all others; equal rows are one

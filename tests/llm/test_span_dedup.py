@@ -80,3 +80,42 @@ def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     want = {i: (text, n, lost) for i, text, n, lost in brute([(r.doc_id, r.text) for r in docs])}
     assert {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in S.op9_span_dedup(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def long_sentence(rng, n):
+    return " ".join(f"{rng.choice(['ka', 'lo', 'mi', 'ru'])}{x}" for x in rng.integers(0, 3000, n)) + "."
+
+
+def test_passages_put_in_at_arbitrary_words_are_all_found(spark):
+    """A passage of WORDS + 2 * WHOLE words or more loses words in each copy but the first: recall is 1, wherever it begins."""
+    rng = np.random.default_rng(8)
+    least = S.WORDS + 2 * S.WHOLE
+    rows = []
+    for k in range(150):
+        n = int(rng.integers(least, 4 * least))
+        passage = [long_sentence(rng, n)[:-1], long_sentence(rng, n // 2) + " " + long_sentence(rng, n - n // 2)[:-1]][k % 2]
+        for copy in range(2):
+            host = " ".join(long_sentence(rng, int(m)) for m in rng.integers(2, 60, 8)).split()
+            at = int(rng.integers(0, len(host)))
+            rows.append((2 * k + copy, " ".join([*host[:at], passage, *host[at:]])))
+    got = {r.doc_id: r for r in S.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k + 1].n_removed > 0 for k in range(150))
+    assert found == 150
+    assert all(got[2 * k].n_removed == 0 for k in range(150))
+    lost = [len(t.split()) - len(got[i].text.split()) for i, t in rows if i % 2]
+    assert min(lost) >= S.WORDS
+
+
+def test_text_without_blanks(spark):
+    rng = np.random.default_rng(9)
+    han = lambda n: "".join(chr(x) for x in rng.integers(0x4E00, 0x9FA5, n))
+    thai = lambda n: "".join(chr(x) for x in rng.integers(0x0E01, 0x0E2E, n))
+    rows = []
+    for k, make in enumerate([han] * 20 + [thai] * 20):
+        passage = make(60 if make is han else 240)
+        for copy in range(2):
+            rows.append((2 * k + copy, make(int(rng.integers(0, 99))) + passage + make(int(rng.integers(1, 99))) + ("\u3002" if make is han else "")))
+    got = {r.doc_id: r for r in S.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((got[i].n_removed > 0) == (i % 2 == 1) for i, _ in rows)
+    assert all(len(got[i].text) <= len(t) - 25 for i, t in rows if i % 2)
+    assert S.sentences("\u4e00\u3002\u4e8c\uff01".encode()) == [6, 12]
