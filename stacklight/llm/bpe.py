@@ -161,7 +161,7 @@ def _encode(shipped: Broadcast):
 
 
 def _width(shipped: Broadcast) -> str:
-    return "<u2" if max(shipped.value.values()) < 1 << 16 else "<u4"
+    return "<u2" if max(shipped.value[0].values()) < 1 << 16 else "<u4"
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +228,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     schema = ", ".join(f"`{n}` {t}" for n, t in [*encoded.dtypes, (out_col, "binary")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [b""] * (max(shipped.value.values()) + 1)
-        for t, i in shipped.value.items():
+        tokens = [b""] * (max(shipped.value[0].values()) + 1)
+        for t, i in shipped.value[0].items():
             tokens[i] = t
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), np.uint8)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from stacklight.session import shared_dir
 
-__all__ = ["ascii_lower", "remove", "shared_dir", "table", "written", "written_at"]
+__all__ = ["ascii_lower", "fresh", "remove", "shared_dir", "table", "written", "written_at"]
+
+#: Spark's own switch: the shuffle files of a finished execution are deleted, as nothing can read them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +27,26 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
 def written_at(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to meet a column of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table of written_at() that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

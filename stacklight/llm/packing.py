@@ -11,18 +11,21 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stacklight.llm import vocab
-from stacklight.llm.common import table, written
+from stacklight.llm.common import fresh, table, written
 
 CAPACITY = 2048
 #: Pieces that one task packs, about; rounds of exchange at most; empty tokens that a closed sequence may have before the last round.
 PER_TASK, ROUNDS, SLACK = 50_000, 6, 0
+#: Share of one sequence that a certified partition may leave empty in all without others getting it.
+TRIFLE = 0.02
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each row's token ids, the id `end` last. Ids over `capacity` are cut so that
-    only the first piece is shorter. Null texts are empty."""
+    only the first piece is shorter. Null texts are empty. The file's special tokens are taken out of a text first, as its library does."""
     shipped = vocab.ship(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +33,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.array([*enc.encode_ordinary(text or ""), end], "<u4")
+                ids = np.array([*enc.encode(text or "", allowed_special="all"), end], "<u4")
                 at, to, k = 0, len(ids) % capacity or min(capacity, len(ids)), 0
                 while at < len(ids):
                     for column, v in zip(out, (i, k, at, to - at, zlib.crc32(ids[at:to].tobytes()))):
@@ -131,14 +134,15 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, rounds: int = ROUNDS) -> DataFrame:
-    """`items` (length long from 1 to capacity, other columns) with sequence_id and offset.
+    """`items` (length long from 1 to capacity, other columns) with sequence_id and offset, in place of columns of these names.
 
-    Each round packs partitions of about per_task items by best-fit decreasing. Full sequences are closed. A partition whose
-    sequences with room could not be fewer even by its lower bound closes none of them either while others have gaps: the items of all
-    sequences with room are exchanged, over fewer partitions, and packed again, until one partition holds the rest,
+    Each round packs partitions of about per_task items by best-fit decreasing. A partition whose sequences could not be fewer,
+    by its lower bound, is certified; if all its empty tokens make no more than TRIFLE of one, it is left alone. Others have gaps
+    and close their full sequences only. What is not closed is exchanged, over fewer partitions, and packed again, until one partition holds the rest,
     the total meets the bound of all items, or the rounds are over. All items keep their row.
     """
-    spark = items.sparkSession
+    items = written(items.drop("sequence_id", "offset"), "items")
+    part, closed_col = fresh(items, "part", "closed")
     cols, done, left, open_bins = items.columns, None, items, None
     bound = lower_bound_of(items, capacity)
     closed = 0
@@ -146,20 +150,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_task: int = PER_TASK, r
     for r in range(rounds):
         parts = max(1, -(-n // per_task))
         last = r == rounds - 1 or parts == 1
-        dealt = left.withColumn("__part", F.pmod(F.xxhash64(F.lit(r), *[c for c in cols if c != "length"], "length"), F.lit(parts)).cast("long"))
-        packed = written(dealt.groupBy("__part").applyInPandas(_packer(cols, capacity, r), dealt.drop("__part").schema.add("sequence_id", "long").add("offset", "long").add("__full", "boolean")), "packed")
-        full, rest = packed.where("__full"), packed.where("not __full")
+        dealt = left.withColumn(part, F.pmod(F.xxhash64(F.lit(r), F.monotonically_increasing_id()), F.lit(parts)).cast("long"))
+        schema = StructType(items.schema.fields[:]).add("sequence_id", "long").add("offset", "long").add(closed_col, "boolean")
+        packed = written(dealt.groupBy(part).applyInPandas(_packer(cols, capacity, r, closed_col), schema), "packed")
+        full, rest = packed.where(F.col(closed_col)), packed.where(~F.col(closed_col))
         n_full = full.select("sequence_id").distinct().count()
         now = rest.agg(F.count_distinct("sequence_id"), F.count("*")).first()
         if last or closed + n_full + now[0] <= bound or (open_bins is not None and now[0] >= open_bins):
             done = packed if done is None else done.unionByName(packed)
             break
         done = full if done is None else done.unionByName(full)
-        closed, open_bins, n, left = closed + n_full, now[0], now[1], rest.select(*cols)
-    return done.drop("__full")
+        closed, open_bins, n, left = closed + n_full, now[0], now[1], rest.select(*[F.col(f"`{c}`") for c in cols])
+    return done.drop(closed_col)
 
 
-def _packer(cols: list[str], capacity: int, r: int):
+def _packer(cols: list[str], capacity: int, r: int, closed_col: str):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         out = group[cols].reset_index(drop=True)
         lengths = out["length"].to_numpy(np.int64)
@@ -170,9 +175,12 @@ def _packer(cols: list[str], capacity: int, r: int):
         offset = np.empty(len(out), np.int64)
         offset[order] = before - np.repeat(before[first], np.diff(np.append(first, len(out))))
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
+        stays = fill >= capacity - SLACK
+        if len(fill) * capacity - fill.sum() <= capacity * TRIFLE and len(fill) <= lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
+            stays[:] = True  # certified, and its empty tokens are no gain for others
         out["sequence_id"] = (r << 56) + (int(key[0]) << 24) + bins
         out["offset"] = offset
-        out["__full"] = fill[bins] >= capacity - SLACK
+        out[closed_col] = stays[bins]
         return out
 
     return run
@@ -189,11 +197,10 @@ def lower_bound_of(items: DataFrame, capacity: int = CAPACITY) -> int:
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset) of each piece of each row of `docs`.
 
-    Null texts are empty: the end id alone. Rows that repeat an id, or have none, are packed like any other. Very long texts
-    are many pieces. An empty table gives an empty result. Other columns are not read.
+    Null and empty texts are the end id alone. Rows that repeat an id, or have none, are packed like any other. Very long texts
+    are many pieces. Equal lengths are packed in any order. An empty table gives an empty result. Other columns are not read.
     """
-    cut = written(pieces(docs, id_col, text_col, path or public_tokenizers.path("byte_bpe_50k.json"), capacity), "pieces")
-    return pack(cut, capacity).withColumnRenamed("id", id_col)
+    return pack(pieces(docs, id_col, text_col, path or public_tokenizers.path("byte_bpe_50k.json"), capacity), capacity).withColumnRenamed("id", id_col)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

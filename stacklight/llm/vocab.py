@@ -14,9 +14,16 @@ _BUILT: dict[int, tiktoken.Encoding] = {}
 
 
 def ship(spark: SparkSession, path: str) -> Broadcast:
-    """The ranks of a vocabulary file (.tiktoken or .json) for all executors."""
+    """The (ranks, special tokens) of a vocabulary file (.tiktoken or .json) for all executors."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(ranks(f.read()))
+        content = f.read()
+    return spark.sparkContext.broadcast((ranks(content), special_tokens(content)))
+
+
+def special_tokens(content: bytes) -> dict[str, int]:
+    """The ids of the strings that a .json file's library takes out of a text before it encodes the rest; others have none."""
+    added = json.loads(content).get("added_tokens", []) if content.lstrip()[:1] == b"{" else []
+    return {t["content"]: t["id"] for t in added if t["special"]}
 
 
 def ranks(content: bytes) -> dict[bytes, int]:
@@ -39,5 +46,5 @@ def encoding(shipped: Broadcast) -> tiktoken.Encoding:
     """One encoder for each process and vocabulary."""
     key = shipped._bid if hasattr(shipped, "_bid") else id(shipped)
     if key not in _BUILT:
-        _BUILT[key] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=shipped.value, special_tokens={})
+        _BUILT[key] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=shipped.value[0], special_tokens=shipped.value[1])
     return _BUILT[key]

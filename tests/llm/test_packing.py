@@ -10,7 +10,6 @@ from stacklight.llm import packing
 
 def check(rows, texts, capacity):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = {}
     for i, text in texts:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -48,7 +47,7 @@ def test_documents(spark):
 
 @pytest.mark.parametrize("capacity", [4, 16, 50])
 def test_odd_texts_and_small_sequences(spark, capacity):
-    texts = [(1, None), (2, ""), (3, "hello world " * 200), (3, "again"), (None, "no id"), (5, "<|endoftext|>"), (6, "é😀")] + [(10 + k, "w " * k) for k in range(60)]
+    texts = [(1, None), (2, ""), (3, "hello world " * 200), (3, "again"), (None, "no id"), (5, "<|endoftext|>"), (7, "hello <|endoftext|> world"), (8, "a  <|endoftext|><|endoftext|>  b\n <|endoftext"), (6, "é😀")] + [(10 + k, "w " * k) for k in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     check(packing.pack_documents(docs, capacity=capacity).collect(), texts, capacity)
     assert packing.pack_documents(docs.limit(0)).count() == 0
@@ -75,3 +74,9 @@ def test_bounds_hold_and_see_large_items():
         bound = packing.lower_bound(np.bincount(sizes, minlength=101), 100)
         for bins in (packing.best_fit(sizes, 100), packing.filled(sizes, 100), packing.repacked(sizes, 100)):
             assert np.bincount(bins, weights=sizes).max() <= 100 and bound <= bins.max() + 1 == len(set(bins.tolist()))
+
+
+def test_clashing_names_are_replaced_or_kept(spark):
+    items = spark.createDataFrame([(k, 40, 1, 2, True) for k in range(20)], "part long, length long, sequence_id long, offset long, closed boolean")
+    got = packing.pack(items, 100, per_task=5).toPandas()
+    assert sorted(got.part) == list(range(20)) and got.closed.all() and 10 <= got.sequence_id.nunique() <= 13 and set(got.offset) == {0, 40}
