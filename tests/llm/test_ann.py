@@ -46,6 +46,28 @@ def test_odd_vectors_and_ties(spark):
 def test_rotations_keep_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
-    c = ann.cells(x, 3, 4, 1)
-    assert c.shape == (5, 3, 4) and (c // 32 == np.arange(3)[None, :, None]).all()
-    assert (ann.cells(2 * x, 3, 4, 1) == c).all()
+    c = ann.cells(x, 2, 3, 1)
+    assert (ann.cells(2 * x, 2, 3, 1) == c).all() and (c < 32**2).all() and (ann.probed(x, 2, 3, 1, 7)[:, 0] == c).all()
+    assert [sorted(r) for r in ann.probed(x, 1, 0, 1, 1 << 30).tolist()] == [list(range(32))] * 5
+
+
+@pytest.mark.parametrize("n", [1, 5, 10, 21, 40])
+def test_small_tables_give_all_candidates(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 6))
+    df = spark.createDataFrame([(k, [float(t) for t in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df, tables=1, probes=1).toPandas()
+    want = brute(np.arange(n), x, range(n))
+    exact = n <= 21
+    for q in range(n):
+        found = got[got.query_id == q].sort_values("rank").vec_id.tolist()
+        assert len(found) == min(20, n - 1) and (not exact or found == [i for i in want[q] if i != q])
+
+
+@pytest.mark.parametrize("rotations", [1, 2, 3])
+def test_recall_of_norms_that_differ(spark, rotations):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 24)) * rng.uniform(0.5, 2, (1500, 1))
+    df = spark.createDataFrame([(k, [float(t) for t in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), rotations=rotations, probes={1: 16, 2: 600, 3: 8000}[rotations]).toPandas()
+    want = brute(np.arange(1500), x, range(0, 1500, 20))
+    assert np.mean([len(set(p.vec_id) & set(want[q])) / 20 for q, p in got.groupby("query_id")]) >= 0.9
