@@ -97,8 +97,13 @@ def _rows(cell: np.ndarray, ids: pa.Array, last: list[bytes], x: np.ndarray, at:
     return pa.RecordBatch.from_arrays([pa.array(cell), ids.take(take), pa.array(last, pa.binary()), pa.array(scale.astype(np.float32)).take(take), code.take(take)], ["cell", "id", "last", "scale", "code"])
 
 
-def _point_dealer(tables: int, rotations: int, seed: int, longest: float):
-    """A row for each table: the cells that share all axes but the last are one group; `last` is the last axis."""
+def _bare(cell: np.ndarray) -> pa.RecordBatch:
+    n = len(cell)
+    return pa.RecordBatch.from_arrays([pa.array(cell), *(pa.nulls(n, t) for t in (pa.int64(), pa.binary(), pa.float32(), pa.binary()))], ["cell", "id", "last", "scale", "code"])
+
+
+def _point_dealer(tables: int, rotations: int, seed: int, longest: float, lean: bool = False):
+    """A row for each table: the cells that share all axes but the last are one group; `last` is the last axis. `lean`: the groups only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,16 +112,19 @@ def _point_dealer(tables: int, rotations: int, seed: int, longest: float):
                 x = _vectors(part.column("v"))
                 u = _directions(x, longest, False)
                 wide = 2 << max(1, (u.shape[1] - 1).bit_length())
+                shift = np.arange(tables) * wide ** (rotations - 1)
+                if lean:
+                    yield _bare((np.stack([cells(u, rotations - 1, t, seed) for t in range(tables)], 1) + shift).ravel())
+                    continue
                 code = np.stack([cells(u, rotations, t, seed) for t in range(tables)], 1)
-                group, last = code // wide, (code % wide).astype("<u2")
-                group += np.arange(tables) * wide ** (rotations - 1)
+                group, last = code // wide + shift, (code % wide).astype("<u2")
                 yield _rows(group.ravel(), part.column("id"), [v.tobytes() for v in last.ravel()], x, np.repeat(np.arange(len(x)), tables))
 
     return run
 
 
-def _query_dealer(tables: int, rotations: int, seed: int, longest: float, probes: int):
-    """A row for each group that a query looks into; `last` has a bit for each last axis that it looks for there."""
+def _query_dealer(tables: int, rotations: int, seed: int, longest: float, probes: int, lean: bool = False):
+    """A row for each group that a query looks into; `last` has a bit for each last axis that it looks for there. `lean`: the groups only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,6 +143,9 @@ def _query_dealer(tables: int, rotations: int, seed: int, longest: float, probes
                 code, row = code[order], row[order]
                 group, last = code // wide, code % wide
                 head = np.append(True, (group[1:] != group[:-1]) | (row[1:] != row[:-1]))
+                if lean:
+                    yield _bare(group[head])
+                    continue
                 mask = np.zeros((int(head.sum()), wide), np.uint8)
                 mask[np.cumsum(head) - 1, last] = 1
                 yield _rows(group[head], part.column("id"), [m.tobytes() for m in np.packbits(mask, axis=1)], x, row[head])
@@ -142,14 +153,25 @@ def _query_dealer(tables: int, rotations: int, seed: int, longest: float, probes
     return run
 
 
-def _top(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int) -> np.ndarray:
-    """The places of the `most` best rows of each q, best first, ties to smaller ids, each id once."""
-    order = np.lexsort((-scores, ids, q))
-    once = order[np.append(True, (ids[order][1:] != ids[order][:-1]) | (q[order][1:] != q[order][:-1]))] if len(order) else order
-    order = once[np.lexsort((ids[once], -scores[once], q[once]))]
-    first = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1])) if len(order) else order
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    return order[rank < most]
+def _top(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int, repeated: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` best rows of each q, best first, ties to smaller ids, each id once; `repeated`: an id may come twice for a q."""
+    if not len(q):
+        return q, ids, scores
+    order = np.argsort(ids, kind="stable")
+    if repeated:
+        order = order[np.argsort(q[order], kind="stable")]
+        q, ids, scores = q[order], ids[order], scores[order]
+        first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (q[1:] != q[:-1])))
+        q, ids, scores = q[first], ids[first], np.maximum.reduceat(scores, first)
+    else:
+        q, ids, scores = q[order], ids[order], scores[order]
+    bits = scores.view(np.uint32)
+    falling = np.where(bits >> np.uint32(31), bits, ~bits & np.uint32(0x7FFFFFFF))  # larger scores are smaller numbers
+    number = np.unique(q, return_inverse=True)[1] if repeated else q
+    order = np.argsort((number.astype(np.uint64) << np.uint64(32)) | falling, kind="stable")
+    first = np.flatnonzero(np.append(True, q[order][1:] != q[order][:-1]))
+    order = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < most]
+    return q[order], ids[order], scores[order]
 
 
 class _Group:
@@ -171,6 +193,8 @@ class _Group:
             axis, self.by_axis = np.nonzero(mask.T)
             self.looks = np.searchsorted(axis, np.arange(mask.shape[1] + 1))
         axis = np.frombuffer(b"".join(last), "<u2").astype(np.int64)
+        self.seen = np.append(self.seen, ids) if len(self.ids) else ids
+        twice = len(np.unique(self.seen)) < len(self.seen)
         n = self.looks[axis + 1] - self.looks[axis]
         done = np.cumsum(n)
         at = 0
@@ -183,8 +207,7 @@ class _Group:
             p, q = p[other], q[other]
             score = np.einsum("ij,ij->i", self.q_x[q], x[p])
             q, i, s = np.append(self.q, q), np.append(self.ids, ids[p]), np.append(self.scores, score)
-            best = _top(q, i, s, self.most)
-            self.q, self.ids, self.scores = q[best], i[best], s[best]
+            self.q, self.ids, self.scores = _top(q, i, s, self.most, twice)
             at = to
 
     def told(self) -> Iterator[pa.RecordBatch]:
@@ -235,8 +258,7 @@ def _merger(most: int):
             n = np.diff(b.column("ids").offsets.to_numpy())
             q = np.append(q, np.repeat(b.column("query_id").to_numpy(), n))
             ids, scores = np.append(ids, b.column("ids").flatten().to_numpy()), np.append(scores, b.column("scores").flatten().to_numpy())
-            best = _top(q, ids, scores, most)
-            q, ids, scores = q[best], ids[best], scores[best]
+            q, ids, scores = _top(q, ids, scores, most)
             whole = q != q[-1]  # the last query may go on
             if whole.any():
                 yield _lists(q[whole], ids[whole], scores[whole])
@@ -257,12 +279,16 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (size["n"] if size else 0))
 
 
-def _candidates(points: DataFrame, asked: DataFrame, most: int, group: int) -> DataFrame:
+def _large(points: DataFrame, asked: DataFrame, group: int) -> DataFrame:
+    """(cell, p_parts, q_parts) of the groups with so many points or queries that they are split."""
+    many = points.groupBy("cell").count().join(asked.groupBy("cell").agg(F.count("*").alias("q")), "cell")
+    return many.where((F.col("count") > group) | (F.col("q") > group)).select("cell", F.ceil(F.col("count") / group).alias("p_parts"), F.ceil(F.col("q") / group).alias("q_parts"))
+
+
+def _candidates(points: DataFrame, asked: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     """(query_id, ids, scores) of the dealt rows that share a cell. Groups with many points or queries are split, and every two
     splits meet in a task of their own; only these groups are in the table of sizes."""
-    many = points.groupBy("cell").count().join(asked.groupBy("cell").agg(F.count("*").alias("q")), "cell")
-    many = many.where((F.col("count") > group) | (F.col("q") > group)).select("cell", F.ceil(F.col("count") / group).alias("p_parts"), F.ceil(F.col("q") / group).alias("q_parts"))
-    many = written(many, "groups")
+    many = written(sizes, "groups")
     one = F.lit(1).cast("long")
 
     def split(rows: DataFrame, own: str, other: str, kind: int) -> DataFrame:
@@ -272,8 +298,8 @@ def _candidates(points: DataFrame, asked: DataFrame, most: int, group: int) -> D
         return rows.select(F.xxhash64("cell", *place).alias("key"), F.lit(kind).alias("kind"), "id", "last", "scale", "code")
 
     met = split(asked, "q_parts", "p_parts", 0).unionByName(split(points, "p_parts", "q_parts", 1))
-    found = met.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_comparer(most), _FOUND)
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merger(most), _FOUND)
+    found = met.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(_comparer(k + k // 4), _FOUND)
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merger(max(RERANKED * k, k + 16)), _FOUND)
 
 
 def _reranked(found: DataFrame, points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -297,19 +323,23 @@ def nearest(
     of another length than most take no part. Rows that repeat an id count as their best. Empty tables give an empty result.
     Other columns are not read. A group of cells that very many equal vectors share is split among tasks.
     """
+    spark = vectors.sparkSession
     points, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     n, low, high = points.agg(F.count("*"), F.min(norm), F.max(norm)).first()
     rotations = rotations or 1 + sum(n >= m for m in MORE_ROTATIONS)
     longest = float(high) if n and high > low * 1.001 else 0.0  # of equal norms the coordinate is zero
-    most = max(RERANKED * k, k + 16)
-    dealt = points.mapInArrow(_point_dealer(tables, rotations, seed, longest), _DEALT)
-    looking = asked.mapInArrow(_query_dealer(tables, rotations, seed, longest, probes or PROBES[rotations]), _DEALT)
-    out = written(_reranked(_candidates(dealt, looking, most, group), points, asked, k), "nearest")
-    few = asked.join(out.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
-    all_cells = points.mapInArrow(_point_dealer(1, 1, seed, longest), _DEALT)
-    rest = _reranked(_candidates(all_cells, few.mapInArrow(_query_dealer(1, 1, seed, longest, 1 << 30), _DEALT), most, group), points, few, k)
-    return out.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+
+    def found(asked: DataFrame, tables: int, rotations: int, probes: int) -> DataFrame:
+        deal = lambda lean: (points.mapInArrow(_point_dealer(tables, rotations, seed, longest, lean), _DEALT), asked.mapInArrow(_query_dealer(tables, rotations, seed, longest, probes, lean), _DEALT))
+        sizes = _large(*deal(True), group) if max(n, asked.count()) > group else spark.createDataFrame([], "cell long, p_parts long, q_parts long")
+        return _reranked(_candidates(*deal(False), sizes, k), points, asked, k)
+
+    out = written(found(asked, tables, rotations, probes or PROBES[rotations]), "nearest")
+    few = written(asked.join(out.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti"), "few")
+    if few.isEmpty():
+        return out
+    return out.join(few.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(found(few, 1, 1, 1 << 30))
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
