@@ -1,24 +1,24 @@
 """Substring deduplication over bytes by distributed prefix doubling.
 
-Positions get ranks for ever longer strings that begin there; a position whose rank is unique cannot begin a repeated
-string and is left out, until the rank covers the threshold. Ranks for 1, 2, 4, .. GRAM bytes come from pairs within a
-task. Of any THRESHOLD bytes only the smallest GRAM-byte rank within is sorted by Spark, so that one row stands for the run
-of positions that share it (a segment); segments that meet another go on with longer strings.
+Two filters come first, for most positions begin no repeated string and most others lie in long runs. Of any THRESHOLD bytes the smallest
+GRAM-byte name within leads a run of positions; runs whose lead is met nowhere else are left out, and of runs that are equal as a whole all but the
+first are settled. What shares its lead with other runs is cut into parts, filtered in the same way. The positions that are
+left are ranked by doubling: Spark sorts the pairs (rank of the first bytes, rank at the offset behind them), numbers the distinct ones, drops
+positions whose rank is unique, brings the new ranks back to the order of places, and goes on at a larger offset until ranks cover the threshold.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import table, written
+from stacklight.llm.common import fresh, remove, table, written, written_at
 
 THRESHOLD = 100
 #: Bytes of the rank that leads a segment (a power of two), and positions of a part of a segment in the second sort.
@@ -310,8 +310,13 @@ def _parter(threshold: int, gram: int, part: int):
     return run
 
 
-def _stringer(threshold: int):
-    """Each position of a part, ranked by its whole string."""
+#: Of a ranked position: one that is only looked up at an offset, one that may begin a repeated string, one that is known to begin one.
+AHEAD, START, KNOWN = 0, 1, 2
+
+
+def _starter(threshold: int, first: int):
+    """(id, th, pos, kind, a, b) of the positions of the parts and of those at the later offset, a and b the names of the `first` bytes there and
+    of as many behind them. Of strings that are equal as a whole and lie in one batch only the first place goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -323,8 +328,98 @@ def _stringer(threshold: int):
                 row = np.repeat(np.arange(len(n)), n)
                 step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(np.cumsum(size) - size, n) + step
-                place = tuple(x[row] for x in _places(b))
-                yield from _settled_here(name_of(doubled, threshold, start), name_of(doubled, threshold, start, 6), place, b.column("pos").to_numpy()[row] + step, np.ones(len(row), np.int32), threshold)
+                pos = b.column("pos").to_numpy()[row] + step
+                id_, known, th = (x[row] for x in _places(b))
+                string, other = name_of(doubled, threshold, start), name_of(doubled, threshold, start, 6)
+                order = np.lexsort((pos, th, id_, ~known, other, string))
+                head = np.append(True, _differ(string[order], other[order]))
+                lead = order[head][np.cumsum(head) - 1]
+                twin = ~np.any([x[order] != x[lead] for x in (id_, known, th, pos)], axis=0)
+                later, go = order[~head & ~twin], np.sort(order[head])
+                spread = (pos[later] * 7919 + th[later]).view(np.uint64)
+                yield _positions(b, row[later], pos[later], KNOWN, spread, spread)
+                beyond = threshold - 2 * first
+                p, r, q = np.append(start[go], start[go] + beyond), np.tile(row[go], 2), np.append(pos[go], pos[go] + beyond)
+                kind = np.repeat([START, AHEAD], len(go))
+                order = np.lexsort((-kind, p))
+                once = order[np.append(True, p[order][1:] != p[order][:-1])]
+                yield _positions(b, r[once], q[once], kind[once], name_of(doubled, first, p[once]), name_of(doubled, first, p[once] + first))
+
+    return run
+
+
+_PLACED, _PLACED_NAMES = "id long, th long, pos long, kind int, a long, b long", ["id", "th", "pos", "kind", "a", "b"]
+_RANKED, _RANKED_NAMES = "id long, th long, pos long, kind int, rank long", ["id", "th", "pos", "kind", "rank"]
+
+
+def _positions(of: pa.RecordBatch, row: np.ndarray, pos: np.ndarray, kind, *numbers: np.ndarray) -> pa.RecordBatch:
+    take = pa.array(row)
+    kinds = pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(row)))
+    columns = [of.column("id").take(take), of.column("th").take(take), pa.array(pos), kinds, *(pa.array(x.view(np.int64)) for x in numbers)]
+    return pa.RecordBatch.from_arrays(columns, _RANKED_NAMES if len(numbers) == 1 else _PLACED_NAMES)
+
+
+def _reranker(last: bool):
+    """Rows sorted by (a, b) and place. Positions whose pair is unique are left out; others get the number of their pair as rank. `last`: the
+    pair covers the threshold, and all places of it but the first are told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        held, seen = None, False  # the last place so far, whose pair may go on; whether a place before it has the pair
+        for b in batches:
+            settled = b.column("kind").to_numpy() == KNOWN
+            if settled.any():
+                some = np.flatnonzero(settled)
+                yield _positions(b, some, b.column("pos").to_numpy()[some], KNOWN, np.zeros(len(some), np.int64))
+                b = b.filter(pa.array(~settled))
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            x, y, pos, kind = (b.column(c).to_numpy() for c in ("a", "b", "pos", "kind"))
+            same = np.append(False, ~_differ(x, y))
+            twin = same & np.append(False, ~_differ(*_places(b), pos))  # one place, told by two parts
+            k = np.flatnonzero(~twin)
+            same = same[k]
+            rank = number + np.cumsum(~same)
+            before = same.copy()
+            before[0] = seen
+            told = before if last else before | np.append(same[1:], False)
+            some = np.flatnonzero(told[:-1])
+            yield _positions(b, k[some], pos[k[some]], kind[k[some]], rank[some])
+            held, seen, number = b.slice(int(k[-1]), 1), bool(before[-1]), int(rank[-1]) - 1
+        if held is not None and seen:
+            yield _positions(held, np.array([0]), held.column("pos").to_numpy(), held.column("kind").to_numpy(), np.array([number + 1]))
+
+    return run
+
+
+def _pairer(offset: int):
+    """Rows sorted by place: each start with its rank and the rank at the offset behind it; without that one its string is unique."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def paired(b: pa.RecordBatch, upto: int | None) -> tuple[pa.RecordBatch, int]:
+            pos, rank, kind = (b.column(c).to_numpy() for c in ("pos", "rank", "kind"))
+            text = np.append(0, np.cumsum(_differ(*_places(b))))
+            key = (text << 40) | pos
+            open_ = int(np.searchsorted(key, key[-1] - offset, "right")) if upto is None else upto
+            open_ = max(open_, int(np.searchsorted(text, text[-1]))) if upto is None else upto
+            at = np.minimum(np.searchsorted(key, key[:open_] + offset), len(key) - 1)
+            k = np.flatnonzero((key[at] == key[:open_] + offset) & (kind[:open_] == START))
+            return _positions(b, k, pos[k], START, rank[k], rank[at[k]]), open_
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            told, done = paired(b, None)
+            yield told
+            held = b.slice(done)
+        if held is not None and held.num_rows:
+            yield paired(held, held.num_rows)[0]
 
     return run
 
@@ -372,54 +467,67 @@ def _cutter(text_at: int, gone_at: int):
     return run
 
 
+def _doubled(parts: DataFrame, threshold: int) -> DataFrame:
+    """(id, th, pos, n) of the positions of `parts` whose strings of `threshold` bytes begin at an earlier place too."""
+    first = -(-threshold // 4)
+    spark, place = parts.sparkSession, [F.col("id").asc_nulls_last(), "th", "pos"]
+
+    def ranked(pairs: DataFrame, last: bool) -> tuple[DataFrame, str]:
+        rows = pairs.repartition("a", "b").sortWithinPartitions("a", "b", *place, F.desc("kind"))
+        return written_at(rows.mapInArrow(_reranker(last), _RANKED), "ranks")
+
+    half, path = ranked(parts.mapInArrow(_starter(threshold, first), _PLACED), False)
+    met = half.where(F.col("kind") != KNOWN).repartition("id", "th").sortWithinPartitions(*place)
+    full, _ = ranked(met.mapInArrow(_pairer(threshold - 2 * first), _PLACED), True)
+    known, _ = written_at(half.where(F.col("kind") == KNOWN), "ranks")
+    remove(spark, path)
+    return full.unionByName(known).select("id", "th", "pos", F.lit(threshold).alias("n"))
+
+
 def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """`docs` with kept (binary: the bytes that stay), n_bytes, n_removed and n_spans (runs of removed bytes).
+    """`docs` with kept (binary: the bytes that stay), n_bytes, n_removed and n_spans (runs of removed bytes), in place of columns of these names.
 
     A byte goes if a string of `threshold` bytes of its own text covers it that also starts earlier: at a smaller id, or
-    earlier in the same text. Strings are those of the given texts, not of what is left, and never cross texts. Null texts are empty.
+    earlier in the same text. Strings are those of the given texts, not of what is left, and never cross texts. Null and empty texts have no bytes.
     Rows without an id come last; rows that repeat an id are ordered by a hash of their text, and equal rows are one
-    document. An empty table stays empty; other columns are kept.
+    document. Very long texts are taken in pieces that overlap. An empty table stays empty; other columns are kept. Strings are equal if two
+    64-bit names of theirs are.
     """
+    spark = docs.sparkSession
+    docs = docs.drop(*[c for c in ("kept", "n_bytes", "n_removed", "n_spans") if c not in (id_col, text_col)])
     text, ids = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
     base = docs.select(ids.alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t"))
 
-    def sorted_ranks(rows: DataFrame, *more: str) -> DataFrame:
+    def settled(rows: DataFrame, *more: str) -> tuple[DataFrame, str]:
         # place, length and kind travel in one number; content names the length too
         packed = rows.select("lead", "content", "id", "th", (F.shiftleft("pos", N_BITS + 2) + F.shiftleft(F.col("n").cast("long"), 2) + F.col("kind")).alias("meta"), *more)
         packed = packed.repartition("lead").sortWithinPartitions("lead", "content", F.col("id").asc_nulls_last(), "th", "meta")
         bits = lambda from_, n: F.shiftright("meta", from_).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
         rest = [F.col(m) for m in more] or [F.lit(None).cast("binary").alias("piece")]
         rows = packed.select("lead", "content", "id", "th", F.shiftright("meta", N_BITS + 2).alias("pos"), bits(2, N_BITS).alias("n"), bits(0, 2).alias("kind"), *rest)
-        return _released(written(rows.mapInArrow(_settler(threshold), _FOUND), "ranks"))
+        return written_at(rows.mapInArrow(_settler(threshold), _FOUND), "runs")
 
-    first = sorted_ranks(base.mapInArrow(_ranker(threshold, gram), _FOUND))
+    first, first_path = settled(base.mapInArrow(_ranker(threshold, gram), _FOUND))
     runs = first.where(F.col("kind") == FINER).groupBy("id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
     runs = runs.withColumnsRenamed({"id": "id2", "th": "th2"})
     small = base.mapInArrow(_squeezer(2), "id long, th long, t binary")
     held = small.join(runs, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", "t", "runs")
-    second = sorted_ranks(held.mapInArrow(_parter(threshold, gram, PART), _FOUND), "piece")
-    third = sorted_ranks(second.where(F.col("kind") == FINER).select("id", "th", "pos", "n", "piece").mapInArrow(_stringer(threshold), _FOUND))
-    gone = first.unionByName(second).unionByName(third).where(F.col("kind") == GONE).select("id", "th", "pos", "n")
-    gone = _released(written(gone.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "gone"))
-    gone = gone.withColumnsRenamed({"id": "__id", "th": "__th", "gone": "__gone"})
+    second, second_path = settled(held.mapInArrow(_parter(threshold, gram, PART), _FOUND), "piece")
+    third = _doubled(second.where(F.col("kind") == FINER).select("id", "th", "pos", "n", "piece"), threshold)
+    gone = first.unionByName(second).where(F.col("kind") == GONE).select("id", "th", "pos", "n").unionByName(third)
+    gone = written(gone.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "gone")
+    remove(spark, first_path)
+    remove(spark, second_path)
+    own, hash_, gone_id, gone_th, spans = fresh(docs, "own", "hash", "gone_id", "gone_th", "gone")
+    gone = gone.select(F.col("id").alias(gone_id), F.col("th").alias(gone_th), F.col("gone").alias(spans))
     at = docs.columns.index(text_col)
-    told = docs.withColumns({"__own": ids, "__hash": F.xxhash64(text)})
+    told = docs.withColumns({own: ids, hash_: F.xxhash64(text)})
     kinds = ", ".join(f"`{n}` {'binary' if k == at else t}" for k, (n, t) in enumerate(told.dtypes))
-    joined = told.mapInArrow(_squeezer(at), kinds).join(gone, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left").drop("__own", "__hash", "__id", "__th")
+    joined = told.mapInArrow(_squeezer(at), kinds).join(gone, F.col(own).eqNullSafe(F.col(gone_id)) & (F.col(hash_) == F.col(gone_th)), "left").drop(own, hash_, gone_id, gone_th)
     schema = ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, ("kept", "binary"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint")])
     return joined.mapInArrow(_cutter(at, len(docs.columns)), schema)
 
 
-def _released(df: DataFrame) -> DataFrame:
-    """Lets Spark drop the shuffle files of the steps before `df`, which is written: it does so once its driver collects garbage,
-    and the last step is garbage when its end has been told to all listeners."""
-    gc.collect()  # Python's proxies may lie in cycles
-    time.sleep(0.5)
-    df.sparkSession._jvm.System.gc()
-    time.sleep(0.5)
-    return df
-
-
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
