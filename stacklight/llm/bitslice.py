@@ -7,6 +7,8 @@ import numpy as np
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Work items (query, word of 64 lanes) that are held at once.
 CHUNK = 1 << 15
+#: Distances within so many bits count as equally close.
+STEP = 4
 
 
 class Planes:
@@ -21,8 +23,8 @@ class Planes:
         lanes[:, : self.n] = self.bits.T
         self.planes = np.packbits(lanes, axis=1, bitorder="little").view("<u8")
 
-    def within(self, query: np.ndarray, word: np.ndarray, mask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, lane) at a distance of at most radius, for work items (query, word) and the lanes in mask."""
+    def within(self, query: np.ndarray, word: np.ndarray, mask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (query, lane) at a distance of at most radius, and their distances, for work items (query, word) and the lanes in mask."""
         counter = [np.zeros(len(query), np.uint64) for _ in range(radius.bit_length())]
         over = np.zeros(len(query), np.uint64)
         alive = mask.copy()
@@ -37,13 +39,14 @@ class Planes:
                 keep = alive != 0
                 left = np.count_nonzero(keep)
                 if not left:
-                    return np.empty(0, np.int64), np.empty(0, np.int64)
+                    return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
                 if left < 0.8 * len(keep):  # blocks whose lanes are all beyond the radius are abandoned
                     query, word, alive, over = query[keep], word[keep], alive[keep], over[keep]
                     counter = [c[keep] for c in counter]
         hit = np.unpackbits(alive.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         at, lane = np.nonzero(hit)
-        return query[at].astype(np.int64), word[at].astype(np.int64) * 64 + lane
+        distance = sum(((c[at] >> lane.astype(np.uint64)) & np.uint64(1)).astype(np.int64) << k for k, c in enumerate(counter)) if counter else np.zeros(len(at), np.int64)
+        return query[at].astype(np.int64), word[at].astype(np.int64) * 64 + lane, distance
 
 
 def _above(counter: list[np.ndarray], radius: int) -> np.ndarray | np.uint64:
@@ -74,35 +77,64 @@ def _union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Joins classes as _union() does, close pairs first, and adds the pairs that did so to `links`: a forest of direct pairs."""
+    other = label[a] != label[b]
+    a, b, step = a[other], b[other], distance[other] // STEP
+    for level in np.unique(step):
+        x, y = a[step == level], b[step == level]
+        while True:
+            p, q = label[x], label[y]
+            differ = p != q
+            if not differ.any():
+                break
+            x, y, p, q = x[differ], y[differ], p[differ], q[differ]
+            high, at = np.unique(np.maximum(p, q), return_index=True)
+            links.append((x[at], y[at]))
+            label[high] = np.minimum(p, q)[at]
+            while not np.array_equal(up := label[label], label):
+                label[:] = up
+
+
 def classes(start: np.ndarray, fps: np.ndarray, radius: int, wide: int = 512) -> np.ndarray:
     """For rows sorted by bucket (start: the first row of each bucket), each row's class: the smallest row of its bucket
-    that it reaches by links of at most radius bits. Rows of different buckets are never compared.
+    that it reaches by links of at most radius bits. Rows of different buckets are never compared."""
+    label = np.arange(len(fps))
+    _search(label, start, fps, radius, radius, wide, None)
+    return label
 
-    In a bucket of over `wide` rows some pivots are compared with all rows first; rows that share the largest class
-    found so far need no comparison with each other, so a large tight group costs as many steps as it has rows.
-    """
+
+def forest(start: np.ndarray, fps: np.ndarray, radius: int, sure: int, wide: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that differ in at most radius bits and hold the classes() together, close ones chosen before far ones.
+    `sure`: a distance within which a pair is near beyond doubt, so that it may stand for others."""
+    links: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
+    _search(np.arange(len(fps)), start, fps, radius, sure, wide, links)
+    return tuple(np.concatenate(x) for x in zip(*links))
+
+
+def _search(label: np.ndarray, start: np.ndarray, fps: np.ndarray, radius: int, sure: int, wide: int, links: list | None) -> None:
+    """In a bucket of over `wide` rows some pivots are compared with all rows first, for distances within `sure`; rows that share the largest class
+    found so far need no comparison with each other, so a large tight group costs as many steps as it has rows."""
     n = len(fps)
-    label = np.arange(n)
     if n < 2:
-        return label
+        return
     planes = Planes(fps)
     end = np.append(start[1:], n)
     size = end - start
     for s, e in zip(start[size > wide].tolist(), end[size > wide].tolist()):
         for p in range(s, e, max(1, (e - s) // 16)):
-            _compare(planes, label, np.array([p]), s, e, radius, False)
+            _compare(planes, label, np.array([p]), s, e, sure, links)
         rows, counts = np.unique(label[s:e], return_counts=True)
         rest = np.nonzero(label[s:e] != rows[counts.argmax()])[0] + s
-        _compare(planes, label, rest, s, e, radius, False)
+        _compare(planes, label, rest, s, e, radius, links)
     small = np.repeat((size > 1) & (size <= wide), size)
     q = np.nonzero(small)[0]
     if len(q):
         last = np.repeat(end, size)[q]
-        _compare(planes, label, q, q + 1, last, radius, True)
-    return label
+        _compare(planes, label, q, q + 1, last, radius, links)
 
 
-def _compare(planes: Planes, label: np.ndarray, q: np.ndarray, lo, hi, radius: int, later: bool) -> None:
+def _compare(planes: Planes, label: np.ndarray, q: np.ndarray, lo, hi, radius: int, links: list | None) -> None:
     """Links each query row q with the rows lo..hi of its bucket."""
     lo, hi = np.broadcast_to(lo, q.shape), np.broadcast_to(hi, q.shape)
     some = hi > lo
@@ -117,8 +149,11 @@ def _compare(planes: Planes, label: np.ndarray, q: np.ndarray, lo, hi, radius: i
         w = np.repeat(first[at:upto] - (np.cumsum(c) - c), c) + np.arange(c.sum())
         from_bit, to_bit = np.clip(lo[i] - w * 64, 0, 64), np.clip(hi[i] - w * 64, 0, 64)
         mask = _below(to_bit) & ~_below(from_bit)
-        a, b = planes.within(q[i], w, mask, radius)
-        _union(label, a, b)
+        a, b, distance = planes.within(q[i], w, mask, radius)
+        if links is None:
+            _union(label, a, b)
+        else:
+            _join(label, a, b, distance, links)
         at = upto
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stacklight.llm.common import table
+from stacklight.llm.common import fresh, table
 
 #: The model is fitted on at most so many labelled rows, those with the smallest hashes of their ids, and so many pairs of them.
 SAMPLE, PAIRS = 20_000, 200_000
@@ -129,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def scored(docs: DataFrame, model: Ranker, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with score_col, 0 to 1. Null texts score as empty ones; all other columns pass through."""
+    """`docs` with score_col, 0 to 1, in place of a column of that name. Null texts score as empty ones, and very long ones whole; repeated rows
+    and equal texts have equal scores; all other columns pass through; an empty table stays empty."""
+    docs = docs.drop(score_col)
     text_at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType())])
 
@@ -143,8 +145,9 @@ def scored(docs: DataFrame, model: Ranker, text_col: str = "text", score_col: st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` (doc_id, text, ..) that score 0.5 or more, with their columns."""
-    return scored(docs, train(docs, labels), score_col="__score").where("__score >= 0.5").drop("__score")
+    """The rows of `docs` (doc_id, text, ..) that score 0.5 or more, with their columns; otherwise as scored()."""
+    (score,) = fresh(docs, "score")
+    return scored(docs, train(docs, labels), score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import table, written
+from stacklight.llm.common import fresh, table, written
 
 #: A span is the shortest run of at least so many sentences that has at least so many words.
 SENTENCES, WORDS = 2, 25
@@ -168,7 +168,7 @@ def _rows(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], _NAMES)
 
 
-def _cutter(text_at: int, gone_at: int):
+def _cutter(text_at: int, gone_at: int, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, total, removed = [], [], []
@@ -183,30 +183,34 @@ def _cutter(text_at: int, gone_at: int):
                 texts.append((text if not lost.any() else b"".join(text[s:e] for s, e, x in zip(ends, ends[1:], lost.tolist()) if not x)).decode())
             columns = [pa.array(texts, pa.string()) if k == text_at else c for k, c in enumerate(b.columns) if k != gone_at]
             names = [n for k, n in enumerate(b.schema.names) if k != gone_at]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_sentences", "n_removed"])
+            numbers = [pa.array(total, pa.int64()), pa.array(removed, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays([*columns, *numbers], [*names, *(["n_sentences", "n_removed"] if counts else [])])
 
     return run
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = SENTENCES, min_words: int = WORDS) -> DataFrame:
-    """`docs` with text_col cut to the sentences that stay, and with n_sentences and n_removed.
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = SENTENCES, min_words: int = WORDS, counts: bool = True) -> DataFrame:
+    """`docs` with text_col cut to the sentences that stay, and with n_sentences and n_removed in place of columns of these names (`counts`: else without).
 
     Sentences of more than WHOLE words are cut into pieces, which count as sentences here. The span that begins at a sentence is
     the shortest run of at least min_sentences sentences with min_words words; any run of min_words + 2 * WHOLE words holds one. Each
     occurrence of a span but the first, by id and place, loses its sentences. Repeats among a batch's documents are
     settled before the shuffle, so a passage that a third of all documents share sends one row for each batch.
     Null and empty texts have no sentences and become empty. Rows without an id yield to all others; equal rows are one
-    document. Other columns are kept as they are; an empty table stays empty.
+    document. Very long texts take time in proportion. Other columns are kept as they are; an empty table stays empty.
     """
+    docs = docs.drop(*[c for c in ("n_sentences", "n_removed") if counts and c not in (id_col, text_col)])
     text, ids = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
     rows = docs.select(ids.alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("t")).mapInArrow(_span_rows(min_sentences, min_words), _SCHEMA)
     w = Window.partitionBy("h1", "h2").orderBy("settled", F.col("id").asc_nulls_last(), "th", "pos")
     later = rows.withColumn("r", F.dense_rank().over(w)).where("settled or r > 1")
     gone = written(later.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "n")).alias("gone")), "spans")
-    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, ids.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th")), "left").drop("__id", "__th")
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, ("n_sentences", "bigint"), ("n_removed", "bigint")])
-    return joined.mapInArrow(_cutter(docs.columns.index(text_col), len(docs.columns)), schema)
+    gone_id, gone_th, spans_ = fresh(docs, "gone_id", "gone_th", "gone")
+    gone = gone.select(F.col("id").alias(gone_id), F.col("th").alias(gone_th), F.col("gone").alias(spans_))
+    joined = docs.join(gone, ids.eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_th)), "left").drop(gone_id, gone_th)
+    more = [("n_sentences", "bigint"), ("n_removed", "bigint")] if counts else []
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*docs.dtypes, *more])
+    return joined.mapInArrow(_cutter(docs.columns.index(text_col), len(docs.columns), counts), schema)
 
 
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

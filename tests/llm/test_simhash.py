@@ -113,8 +113,75 @@ def test_near_duplicates_by_five_words(spark):
             rows.append((n, " ".join(copy)))
         n += 1
     rows += [(1000, None), (1001, " "), (None, rows[0][1]), (None, "nothing like it at all")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("component_id", "__id", "__th", "gone", "gone_th", "th")})
     kept = simhash.keep_one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 4 * g) for g in range(25)] + [(False, 1000), (True, 0)]
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def word_sets(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    return sets
+
+
+def alike_pairs(sets, least):
+    """(resemblance, a, b) of all pairs that share a shingle and resemble each other so much; pairs of empty sets count as equal."""
+    where = {}
+    for i, s in sets.items():
+        for g in s or {None}:
+            where.setdefault(g, []).append(i)
+    pairs = {(a, b) for g in where.values() for k, b in enumerate(sorted(g)) for a in sorted(g)[:k]}
+    out = []
+    for a, b in pairs:
+        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0
+        if j >= least:
+            out.append((j, a, b))
+    return out
+
+
+def brute_near(texts):
+    """The smallest id of each group that links at 0.8 or more."""
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for _, a, b in alike_pairs(word_sets(texts), 0.8):
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    return {i for i in texts if top(i) == i}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Of each band of true pairs at least 0.97 are in one group, and groups are those of all pairs but for such losses."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    pairs = alike_pairs(word_sets(texts), 0.5)
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        met = [group[a] == group[b] for j, a, b in pairs if low <= j < high]
+        assert sum(met) >= 0.97 * len(met)
+    truly = brute_near(texts)
+    assert truly <= {i for i in texts if group[i] == i}  # what no pair of 0.8 reaches stays
+    met = [group[a] == group[b] for j, a, b in pairs if j < 0.75]
+    assert sum(met) <= 0.05 * len(met)  # by way of others
+
+
+@pytest.mark.parametrize("radius", [3, 8])
+def test_forest_holds_classes_together(radius):
+    rng = np.random.default_rng(radius)
+    fps = np.packbits(rng.random((700, 64)) < 0.12, axis=1)
+    start = np.array([0, 1, 3, 40, 41, 120])
+    a, b = bitslice.forest(start, fps, radius, radius - 2, wide=100)
+    bits = np.unpackbits(fps, axis=1).astype(int)
+    assert (np.abs(bits[a] - bits[b]).sum(1) <= radius).all()
+    want = bitslice.classes(start, fps, radius, wide=100)
+    label = np.arange(700)
+    bitslice._union(label, a, b)
+    assert (label == want).all() and len(a) == 700 - len(set(want.tolist()))

@@ -44,7 +44,7 @@ def test_matches_brute_force(spark, monkeypatch):
         parts.insert(int(rng.integers(0, 12)), passages[int(rng.integers(0, 5))])
         texts.append("".join(parts))
     rows = list(enumerate(texts))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pos", F.lit(1)).withColumn("gone", F.lit("x")).repartition(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("pos", "gone", "__id", "__gone", "gone_id", "n_removed")}).repartition(4)
     got = S.drop_repeated_spans(docs)
     assert {"pos", "gone"} < set(got.columns)
     assert told(got) == sorted(brute(rows), key=repr)
