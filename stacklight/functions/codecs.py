@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What a frame begins with, and a frame that holds no content (its lowest four bits are free); bytes that are handed to the decoder at once.
+MAGIC, SKIPPED, STEP = 0xFD2FB528, 0x184D2A50, 4096
 LEVELS = {"fastest": 1, "default": 3, "better": 7, "best": 19}
 
 
@@ -31,17 +33,35 @@ def zstd_compress(data: Column, level: str | int = "default", checksum: bool = F
     return _each(one)(data)
 
 
-def zstd_decompress(data: Column, most: int = 1 << 30, dictionary: bytes | None = None) -> Column:
-    """Frames with or without a stated size; more than `most` bytes are an error."""
+def is_zstd(data: bytes) -> bool:
+    """Whether a frame begins here."""
+    number = int.from_bytes(data[:4], "little")
+    return number == MAGIC or number & ~15 == SKIPPED
+
+
+def inflate(data: bytes, most: int = 1 << 30, dictionary: bytes | None = None, trailing: bool = False) -> bytes:
+    """The content of all frames, one after the other, at most `most` bytes: input is taken in small steps, and the limit holds after each.
+    A frame that is cut short is an error, and so are other bytes behind the last one, unless `trailing` allows them."""
+    more = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    parts, size, at = [], 0, 0
+    while at < len(data) or not at:
+        frame = zstandard.ZstdDecompressor(**more).decompressobj()
+        while not frame.eof:
+            if at >= len(data):
+                raise ValueError("a zstd frame is cut short")
+            parts.append(frame.decompress(data[at : at + STEP]))
+            size, at = size + len(parts[-1]), at + STEP
+            if size > most:
+                raise ValueError(f"more than {most} bytes")
+        at = min(at, len(data)) - len(frame.unused_data)
+        if trailing and not is_zstd(data[at : at + 4]):
+            break
+    return b"".join(parts)
 
-    def one(x: bytes) -> bytes:
-        more = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
-        out = zstandard.ZstdDecompressor(**more).decompressobj().decompress(x)
-        if len(out) > most:
-            raise ValueError(f"more than {most} bytes")
-        return out
 
-    return _each(one)(data)
+def zstd_decompress(data: Column, most: int = 1 << 30, dictionary: bytes | None = None) -> Column:
+    """All frames of a value, with or without a stated size; see inflate()."""
+    return _each(lambda x: inflate(x, most, dictionary))(data)
 
 
 def zstd_content_size(data: Column) -> Column:
@@ -54,6 +74,11 @@ def zstd_content_size(data: Column) -> Column:
     return _each(one, "long")(data)
 
 
+def dictionary_id(data: Column) -> Column:
+    """The number of the dictionary that a frame asks for, 0 if none."""
+    return _each(lambda x: zstandard.get_frame_parameters(x).dict_id, "long")(data)
+
+
 def train_dictionary(samples: list[bytes], size: int = 16 << 10) -> bytes:
     return zstandard.train_dictionary(size, samples).as_bytes()
 

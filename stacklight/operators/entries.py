@@ -14,19 +14,23 @@ from stacklight.session import written
 
 #: First letters of a bare path that name a namespace in the strict reading.
 LETTERS = "AIJ-MXCW"
-RANGES = 64
+#: Ranges at least and at most, and rows of one between these.
+RANGES, MOST_RANGES, PER_RANGE = 64, 4096, 1 << 20
 
 
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """`df` with its 0-based position in the order of `keys`, without a window over all rows: rows are dealt to ranges of the
-    first key, numbered there, and shifted by the rows of the ranges before. Only RANGES sampled bounds reach the driver."""
-    key = keys[0]
-    sample = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(20 * RANGES).collect()]
-    bounds = sorted(set(sorted(sample)[20::20]))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    dealt = df.withColumn("__range", F.when(F.col(key).isNull(), -1).otherwise(at))
+    """`df` with its 0-based position in the order of `keys`, without a window over all rows: rows are dealt to ranges of all keys
+    together, whose bounds come from a sample, numbered there, and shifted by the rows of the ranges before. Ranges grow in number with the rows."""
+    n = df.count()
+    ranges = max(RANGES, min(MOST_RANGES, n // PER_RANGE))
+    place = F.struct(*[F.struct(F.col(k).isNotNull().alias("known"), F.col(k).alias("k")).alias(f"k{i}") for i, k in enumerate(keys)])
+    sample = df.select(place.alias("p")).where(F.rand(3) < min(1.0, 20 * ranges / max(1, n))).groupBy("p").count()
+    w = Window.orderBy("p")  # about 20 rows for each range
+    bounds = sample.select("p", F.row_number().over(w).alias("i")).where("i % 20 = 0").agg(F.sort_array(F.collect_list("p")).alias("__bounds"))
+    dealt = df.crossJoin(F.broadcast(written(bounds, "bounds")))  # one row
+    dealt = dealt.withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= place))).drop("__bounds")
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # at most RANGES + 1 rows
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
     w = Window.partitionBy("__range").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
     return dealt.withColumn("__k", F.row_number().over(w)).join(F.broadcast(before), "__range").withColumn(name, F.col("__before") + F.col("__k") - 1).drop("__range", "__k", "__before")
 
@@ -49,7 +53,13 @@ def by_path(entries: DataFrame, path: str, strict: bool = False) -> DataFrame:
 
 
 def by_title(entries: DataFrame, title: str) -> DataFrame:
-    return entries.where(F.col("title") == title).orderBy("title_pos" if "title_pos" in entries.columns else "entry_idx").limit(1)
+    """The first entry of the title in each archive."""
+    order = "title_pos" if "title_pos" in entries.columns else "entry_idx"
+    if "archive_id" not in entries.columns:
+        return entries.where(F.col("title") == title).orderBy(order).limit(1)
+    found = entries.where(F.col("title") == title)
+    first = found.groupBy("archive_id").agg(F.min(order).alias(order))
+    return found.join(first, ["archive_id", order], "left_semi")
 
 
 def by_index(entries: DataFrame, index: int) -> DataFrame:
@@ -79,9 +89,9 @@ def title_order(entries: DataFrame, name: str = "pos") -> DataFrame:
     return numbered(live(entries).where(detect.is_user_content(F.col("namespace"))), ["title", "namespace", "path"], name)
 
 
-def cluster_order(entries: DataFrame) -> DataFrame:
-    """Entries with content or link targets, in the order in which their clusters lie."""
-    return entries.where("entry_type in ('content', 'linktarget')").orderBy("cluster", "blob", "entry_idx")
+def cluster_order(entries: DataFrame, name: str = "pos") -> DataFrame:
+    """Entries with content or link targets, numbered in the order in which their clusters lie."""
+    return numbered(entries.where("entry_type in ('content', 'linktarget')"), ["cluster", "blob", "entry_idx"], name)
 
 
 def metadata(entries: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -120,23 +130,26 @@ def resolved(entries: DataFrame) -> DataFrame:
 
 
 def final_targets(redirects: DataFrame, hops: int = 64) -> DataFrame:
-    """(src, dst, looping) of a functional graph (src long, dst long): where each chain of redirects ends, or that it never does.
+    """(src, dst, looping) of a functional graph: where each chain of redirects ends, or that it never does. Nodes may be of any type
+    that compares, such as structs of an archive and an index.
 
-    Pointer doubling: after k rounds dst is 2**k hops away, so log2 of the longest chain rounds suffice; a chain that still
-    stands on a redirect after more hops than there are redirects goes round. Each round is written to the shared folder.
+    Pointer doubling: after k rounds dst is 2**k hops away. A chain that is longer still stands on a redirect, and so does each redirect
+    on it that is 2**k hops or more before its end; so once no more than 2**k redirects stand on one, another round
+    ends all chains that end, and what is left goes round. Each round is written to the shared folder.
     """
-    now = written(redirects.select("src", "dst").where("src is not null and dst is not null"), "hops")
-    n, done = now.count(), 1
-    while done <= max(1, n) and done < 1 << hops:
+    now = written(redirects.select("src", "dst", F.lit(True).alias("looping")).where("src is not null and dst is not null"), "hops")
+    done, open_ = 1, now.count()
+    while open_ and done < 1 << hops:
         nxt = now.select(F.col("src").alias("at"), F.col("dst").alias("far"))
-        now = written(now.join(nxt, F.col("dst") == F.col("at"), "left").select("src", F.coalesce("far", "dst").alias("dst")), "hops")
-        done *= 2
-    on = now.select(F.col("src").alias("at"))
-    return now.join(on, F.col("dst") == F.col("at"), "left").select("src", "dst", F.col("at").isNotNull().alias("looping"))
+        now = written(now.join(nxt, F.col("dst") == F.col("at"), "left").select("src", F.coalesce("far", "dst").alias("dst"), F.col("at").isNotNull().alias("looping")), "hops")
+        if open_ <= done // 2:
+            break
+        open_, done = now.where("looping").count(), done * 2
+    return now
 
 
 def loop_reports(redirects: DataFrame) -> DataFrame:
-    """(entry_idx, loop array<long>): for each redirect that runs into a cycle, the cycle's members in ascending order.
+    """(entry_idx, loop array): for each redirect that runs into a cycle, the cycle's members in ascending order; nodes as in final_targets().
 
     Members lie on a cycle: after the doubled hops every looping chain stands on one; each member is found from itself.
     """

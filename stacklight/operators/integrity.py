@@ -26,11 +26,16 @@ def link_array(html: Column) -> Column:
     return F.concat(of("href"), of("src"))
 
 
+def archive(*frames: DataFrame) -> list[str]:
+    """The key that tells archives apart, where all tables have it."""
+    return ["archive_id"] if all("archive_id" in f.columns for f in frames) else []
+
+
 def links(pages: DataFrame, id_col: str = "entry_idx", html_col: str = "html") -> DataFrame:
-    """(id_col, nr, link, quoted) of each link of HTML content, in the order in which they are searched."""
-    rows = pages.select(id_col, F.posexplode(link_array(F.col(html_col))).alias("nr", "raw"))
+    """([archive_id,] id_col, nr, link, quoted) of each link of HTML content, in the order in which they are searched."""
+    rows = pages.select(*archive(pages), id_col, F.posexplode(link_array(F.col(html_col))).alias("nr", "raw"))
     quoted = F.substring("raw", 1, 1).isin('"', "'")
-    return rows.select(id_col, F.col("nr").cast("long").alias("nr"), F.when(quoted, F.substring(F.col("raw"), F.lit(2), F.length("raw") - 2)).otherwise(F.col("raw")).alias("link"), quoted.alias("quoted"))
+    return rows.select(*archive(pages), id_col, F.col("nr").cast("long").alias("nr"), F.when(quoted, F.substring(F.col("raw"), F.lit(2), F.length("raw") - 2)).otherwise(F.col("raw")).alias("link"), quoted.alias("quoted"))
 
 
 def internal(found: DataFrame) -> DataFrame:
@@ -41,15 +46,18 @@ def internal(found: DataFrame) -> DataFrame:
 
 
 def broken_links(pages: DataFrame, entries: DataFrame, id_col: str = "entry_idx", html_col: str = "html") -> DataFrame:
-    """Links of `pages` that no entry answers: a left anti join by namespace and path."""
-    return internal(links(pages, id_col, html_col)).join(entries.select("namespace", "path"), ["namespace", "path"], "left_anti").select(id_col, "nr", "link")
+    """Links of `pages` that no entry of the same archive answers: a left anti join by archive, namespace and path."""
+    own = archive(pages, entries)
+    found = internal(links(pages, id_col, html_col)).join(entries.select(*own, "namespace", "path"), [*own, "namespace", "path"], "left_anti")
+    return found.select(*archive(pages), id_col, "nr", "link")
 
 
 def redundant(contents: DataFrame, id_col: str = "entry_idx", data_col: str = "data") -> DataFrame:
-    """(first, later) pairs of entries with equal content; content is compared by MD5, and only digests are shuffled."""
-    keyed = contents.select(F.col(id_col).alias("later"), F.md5(F.col(data_col).cast("binary")).alias("md5"))
-    first = keyed.groupBy("md5").agg(F.min("later").alias("first"), F.count("*").alias("n")).where("n > 1").select("md5", "first")
-    return keyed.join(first, "md5").where("later <> first").select("first", "later", "md5")
+    """([archive_id,] first, later, md5): entries of one archive with equal content, compared by MD5; only digests are shuffled."""
+    own = archive(contents)
+    keyed = contents.select(*own, F.col(id_col).alias("later"), F.md5(F.col(data_col).cast("binary")).alias("md5"))
+    first = keyed.groupBy(*own, "md5").agg(F.min("later").alias("first"), F.count("*").alias("n")).where("n > 1").select(*own, "md5", "first")
+    return keyed.join(first, [*own, "md5"]).where("later <> first").select(*own, "first", "later", "md5")
 
 
 def out_of_order(entries: DataFrame, by_namespace: bool = False) -> DataFrame:
@@ -125,18 +133,22 @@ def checksums(archives: DataFrame) -> DataFrame:
 
 
 def report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All checks over the tables of archives: checksum, broken_links, redirect_loops, redundant, errors, summary."""
+    """All checks over the tables of archives: checksum, broken_links, redirect_loops, redundant, errors, summary (a row for each archive)."""
     entries, mimes, archives = tables["entries"], tables["mime_types"], tables["archives"]
     contents = E.items(entries, tables["blobs"])
     html = contents.where("mime like 'text/html%'").withColumn("html", F.make_valid_utf8(F.col("data").cast("string")))
     broken = broken_links(html, entries)
-    loops = E.loop_reports(entries.where("entry_type = 'redirect'").select(F.col("entry_idx").alias("src"), F.col("redirect_idx").alias("dst")))
+    node = lambda c: F.struct("archive_id", F.col(c).alias("entry_idx"))
+    loops = E.loop_reports(entries.where("entry_type = 'redirect' and redirect_idx is not null").select(node("entry_idx").alias("src"), node("redirect_idx").alias("dst")))
+    loops = loops.select("entry_idx.archive_id", "entry_idx.entry_idx", F.transform("loop", lambda x: x["entry_idx"]).alias("loop"))
     same = redundant(contents)
     errors = None
-    for name, df in {"dirent_ptrs": offset_errors(entries, archives), "dirent_order": out_of_order(entries), "mime_types": unknown_mimes(entries, mimes), "empty": empty_entries(contents)}.items():
+    for name, df in {"dirent_ptrs": offset_errors(entries, archives), "dirent_order": out_of_order(entries), "mime_types": unknown_mimes(entries, mimes), "empty": empty_entries(contents), "title_index": title_index_errors(tables["title_index"], entries), "clusters": cluster_errors(tables["clusters"], archives)}.items():
         df = df.select(F.lit(name).alias("check"), "archive_id", "entry_idx", "message")
         errors = df if errors is None else errors.unionByName(df)
     sums = checksums(archives)
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    summary = one(broken, "broken_links").crossJoin(one(loops, "redirect_loops")).crossJoin(one(same, "redundant")).crossJoin(one(errors, "errors")).crossJoin(sums.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("checksum_ok")))  # one row each
+    summary = archives.select("archive_id")
+    for name, df in {"broken_links": broken, "redirect_loops": loops, "redundant": same, "errors": errors}.items():
+        summary = summary.join(df.groupBy("archive_id").agg(F.count("*").alias(name)), "archive_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    summary = summary.join(sums.select("archive_id", F.col("ok").alias("checksum_ok")), "archive_id")
     return {"checksum": sums, "broken_links": broken, "redirect_loops": loops, "redundant": same, "errors": errors, "summary": summary}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stacklight.functions import codecs as K
 from stacklight.operators import clusters as C
 from stacklight.operators import entries as E
+from stacklight.operators import files
 from stacklight.operators import integrity as I
 from stacklight.operators import search as S
 from stacklight.plans.catalogue import query, table
@@ -18,6 +19,10 @@ from stacklight.sources import glass, zim
 
 
 def archive(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return zim.tables(spark, archive_file(spark, d))
+
+
+def archive_file(spark: SparkSession, d: str) -> str:
     """`documents` as an archive: each a text entry with its first 20 characters as title, every tenth also behind a redirect."""
     docs = table(spark, d, "documents")
     items = docs.select(
@@ -32,7 +37,7 @@ def archive(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     zim.register(spark)
     path = f"{shared_dir(spark).removeprefix('file://')}/documents-{uuid.uuid4().hex}.zim"
     items.unionByName(moved).unionByName(meta).write.format("zim").option("main_path", "doc/0").mode("append").save(path)
-    return zim.tables(spark, path)
+    return path
 
 
 _ALL = """a AS (SELECT 'C' AS namespace, 'doc/' || doc_id AS path, left(text, 20) AS title, 'content' AS entry_type, 'text/html' AS mime, text FROM documents
@@ -59,6 +64,12 @@ def zim_title_index(spark: SparkSession, d: str) -> DataFrame:
     return t["title_index"].join(t["entries"], ["archive_id", "entry_idx"]).select("pos", "entry_idx", "path")
 
 
+@query("article_media_counts", f"WITH {_ALL} SELECT count(*) FILTER (WHERE namespace = 'C') AS articles, count(*) FILTER (WHERE namespace <> 'C') AS media, count(*) AS entries FROM e")
+def article_media_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Front articles, which the title index lists, against the rest."""
+    return files.info(spark, archive_file(spark, d)).select("articles", "media", F.col("entry_count").alias("entries"))
+
+
 @query("zim_redirects", "SELECT 'old/' || doc_id AS path, 'doc/' || doc_id AS target_path, 'ok' AS status FROM documents WHERE doc_id % 10 = 0")
 def zim_redirects(spark: SparkSession, d: str) -> DataFrame:
     return E.resolved(archive(spark, d)["entries"]).select("path", "target_path", "status")
@@ -101,6 +112,12 @@ def zstd_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, d, K.zstd_compress, K.zstd_decompress)
 
 
+@query("zstd_frames", "SELECT doc_id, md5(coalesce(text, '') || coalesce(text, '')) AS md5 FROM documents")
+def zstd_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Two frames in each value."""
+    return _round_trip(spark, d, lambda c: F.concat(K.zstd_compress(c), K.zstd_compress(c, "fastest", True)), K.zstd_decompress)
+
+
 @query("xz_round_trip", _MD5)
 def xz_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, d, lambda c: K.xz_compress(c, 1), K.xz_decompress)
@@ -149,11 +166,11 @@ def glass_sort_key_order(spark: SparkSession, d: str) -> DataFrame:
     return E.numbered(keys, ["packed"], "rank").select("k", "rank")
 
 
-_COUNTS = """SELECT lower(t) AS term, doc_id, count(*) AS wdf FROM (SELECT doc_id + 1 AS doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{Nd}_]+')) AS t FROM documents WHERE lang = 'en') GROUP BY ALL"""
+_COUNTS = """SELECT lower(t) AS term, doc_id, count(*) AS wdf FROM (SELECT doc_id + 1 AS doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{Nd}_]+')) AS t FROM documents) GROUP BY ALL"""
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("lang = 'en'").select((F.col("doc_id") + 1).alias("doc_id"), "text")
+    docs = table(spark, d, "documents").select((F.col("doc_id") + 1).alias("doc_id"), "text")
     return S.token_rows(docs).groupBy(F.col("token").alias("term"), "doc_id").agg(F.count("*").alias("wdf"))
 
 

@@ -81,7 +81,7 @@ def iterate_by_title(spark: SparkSession, d: str) -> DataFrame:
 
 @query("iterate_by_cluster_order", f"WITH {ENTRIES} SELECT row_number() OVER (ORDER BY cluster, blob, page_id) - 1 AS rank, page_id, cluster, blob FROM e")
 def iterate_by_cluster_order(spark: SparkSession, d: str) -> DataFrame:
-    return E.numbered(pages(spark, d), ["cluster", "blob", "page_id"], "rank").select("rank", "page_id", "cluster", "blob")
+    return E.cluster_order(pages(spark, d).withColumn("entry_idx", F.col("page_id")), "rank").select("rank", "page_id", "cluster", "blob")
 
 
 @query("suggest", f"""WITH {ENTRIES}, t AS (SELECT *, row_number() OVER (ORDER BY title, namespace, path, page_id) - 1 AS pos FROM e)
@@ -90,14 +90,6 @@ def suggest(spark: SparkSession, d: str) -> DataFrame:
     return S.suggest(E.numbered(pages(spark, d), ["title", "namespace", "path", "page_id"], "pos"), "Th").select("pos", "title", "path")
 
 
-@query("article_media_counts", """SELECT count(*) FILTER (WHERE lang = 'en') AS articles, count(*) FILTER (WHERE lang <> 'en') AS media, count(*) AS entries FROM documents""")
-def article_media_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Front articles against the rest; English documents are the title index here."""
-    docs = table(spark, d, "documents")
-    index = docs.where("lang = 'en'").select("doc_id")
-    return docs.join(index.withColumn("front", F.lit(True)), "doc_id", "left").agg(F.count("front").alias("articles"), (F.count("*") - F.count("front")).alias("media"), F.count("*").alias("entries"))
-
-
 @query("namespace_counts", """SELECT ns, CASE ns WHEN 'C' THEN 'content (new scheme)' WHEN 'A' THEN 'article (old scheme)' WHEN 'I' THEN 'image (old scheme)' WHEN 'M' THEN 'metadata' WHEN 'Q' THEN 'namespace Q' ELSE 'unknown (0x31)' END AS kind,
   ns IN ('C', 'A', 'I', 'J', '-') AS user_content, count(*) AS n FROM (SELECT substring('CAIMQ1', CAST(doc_id % 6 + 1 AS INTEGER), 1) AS ns FROM documents) GROUP BY ns""")
 def namespace_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -118,14 +110,13 @@ def mime_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").groupBy(D.mime_by_name(F.col("url")).alias("mime")).agg(F.count("*").alias("n"))
 
 
-_HEX4 = "regexp_replace(hex(encode(left(text, 4)))[1:8], '(..)(..)(..)(..)', '[\\1 \\2 \\3 \\4]')"
-
-
-@query("detect_content_type", f"""SELECT 'd' || doc_id AS id, CASE WHEN strlen(text) < 4 THEN '' ELSE {_HEX4} END AS type FROM documents WHERE NOT starts_with(text, '<') AND NOT starts_with(text, 'GIF')
-UNION ALL SELECT 'p' || page_id, '[HTML]' FROM pages WHERE starts_with(html, '<!DOCTYPE') OR regexp_matches(html, '^<[hH]')""")
+@query("detect_content_type", """WITH b AS (SELECT 'd' || doc_id AS id, hex(encode(left(text, 9))) AS h, strlen(text) AS n FROM documents UNION ALL SELECT 'p' || page_id, hex(encode(left(html, 9))), strlen(html) FROM pages)
+SELECT id, CASE WHEN n < 4 THEN '' WHEN starts_with(h, '474946') THEN '[GIF]' WHEN starts_with(h, '3C21444F4354595045') OR (n >= 5 AND left(h, 4) IN ('3C68', '3C48')) THEN '[HTML]'
+  ELSE regexp_replace(left(h, 8), '(..)(..)(..)(..)', '[\\1 \\2 \\3 \\4]') END AS type FROM b""")
 def detect_content_type(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("not startswith(text, '<') and not startswith(text, 'GIF')").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").cast("binary").alias("b"))
-    web = table(spark, d, "pages").where("startswith(html, '<!DOCTYPE') or html rlike '^<[hH]'").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").cast("binary").alias("b"))
+    """All documents and pages; no valid text begins with the other signatures."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").cast("binary").alias("b"))
+    web = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").cast("binary").alias("b"))
     return docs.unionByName(web).select("id", D.content_type(F.col("b")).alias("type"))
 
 
@@ -142,10 +133,12 @@ def uuid_parse(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(typed)), "nr int, typed string").select("nr", D.parse_uuid(F.col("typed")).alias("uuid"))
 
 
-@query("blob_range", "SELECT doc_id, substring(text, 6, 5) AS part, substring(text, 11) AS rest FROM documents WHERE length(text) = strlen(text) AND length(text) >= 10")
+@query("blob_range", """WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents)
+SELECT doc_id, CASE WHEN length(h) >= 10 THEN substring(h, 11, 10) END AS part, CASE WHEN length(h) >= 20 THEN md5(substring(h, 21)) END AS rest FROM h""")
 def blob_range(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("length(text) = octet_length(text) and length(text) >= 10").select("doc_id", F.col("text").cast("binary").alias("b"))
-    return rows.select("doc_id", E.blob_range(F.col("b"), 5, 5).cast("string").alias("part"), E.blob_range(F.col("b"), 10).cast("string").alias("rest"))
+    """Bytes 5 to 9 of each text as hex digits, and a digest of those of the bytes from 10 on."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
+    return rows.select("doc_id", F.hex(E.blob_range(F.col("b"), 5, 5)).alias("part"), F.md5(F.hex(E.blob_range(F.col("b"), 10))).alias("rest"))
 
 
 @query("md5_content", "SELECT doc_id, md5(coalesce(text, '')) AS md5, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size FROM documents")
@@ -175,6 +168,14 @@ def broken_links(spark: SparkSession, d: str) -> DataFrame:
     return I.broken_links(table(spark, d, "pages"), pages(spark, d), "page_id")
 
 
+@query("broken_links_archives", f"""WITH {LINKS}, {ENTRIES}, n AS (SELECT *, CASE WHEN regexp_matches(link, '^[AIJMXCW-]/') THEN left(link, 1) ELSE 'C' END AS ns, CASE WHEN regexp_matches(link, '^[AIJMXCW-]/') THEN substring(link, 3) ELSE link END AS target FROM l WHERE NOT {_EXT} AND link <> '')
+SELECT 'a' || page_id % 2 AS archive_id, page_id, CAST(nr AS BIGINT) AS nr, link FROM n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.page_id % 2 = n.page_id % 2 AND e.namespace = n.ns AND e.path = n.target)""")
+def broken_links_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Even and odd pages as two archives: what only the other one has is missing."""
+    rows = pages(spark, d).withColumn("archive_id", F.concat(F.lit("a"), F.col("page_id") % 2))
+    return I.broken_links(rows, rows, "page_id")
+
+
 @query("broken_links_corpus", """WITH w AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS link FROM pages), v AS (SELECT DISTINCT title FROM (SELECT regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages))
 SELECT link, count(*) AS n, count(DISTINCT page_id) AS pages FROM w WHERE link NOT IN (SELECT title FROM v) GROUP BY link""")
 def broken_links_corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -227,6 +228,17 @@ def redirect_loops(spark: SparkSession, d: str) -> DataFrame:
     return E.loop_reports(rows).select("entry_idx")
 
 
+@query("redirect_loops_archives", f"""WITH RECURSIVE {REDIRECTS}, walk(src, here, hops) AS (SELECT k, dst, 1 FROM g WHERE NOT content UNION ALL
+  SELECT src, g.dst, hops + 1 FROM walk JOIN g ON walk.here = g.k WHERE NOT g.content AND hops < 400)
+SELECT archive_id, k AS entry_idx FROM g, (VALUES ('x'), ('y')) v(archive_id) WHERE NOT content AND k NOT IN (SELECT src FROM walk JOIN g ON walk.here = g.k WHERE g.content)""")
+def redirect_loops_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Two archives with the same indices and loops."""
+    rows = redirect_entries(spark, d).where("entry_type = 'redirect'")
+    rows = rows.drop("archive_id").crossJoin(F.broadcast(spark.createDataFrame([("x",), ("y",)], "archive_id string")))  # two rows
+    found = E.loop_reports(rows.select(F.struct("archive_id", "entry_idx").alias("src"), F.struct("archive_id", F.col("redirect_idx").alias("entry_idx")).alias("dst")))
+    return found.select("entry_idx.archive_id", "entry_idx.entry_idx")
+
+
 @query("redirect_loop_members", "SELECT * FROM (VALUES (1, [2, 3]), (2, [2, 3]), (3, [2, 3]), (5, [5]), (8, [5]), (9, [2, 3])) t(entry_idx, loop)")
 def redirect_loop_members(spark: SparkSession, d: str) -> DataFrame:
     """A tail into a pair, a self-loop with a tail, chains that end, one that leads nowhere."""
@@ -239,6 +251,12 @@ def redundant_pairs(spark: SparkSession, d: str) -> DataFrame:
     return I.redundant(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
 
 
+@query("redundant_archives", "WITH m AS (SELECT doc_id, md5(coalesce(text, '')) AS md5, min(doc_id) OVER (PARTITION BY doc_id % 2, md5(coalesce(text, ''))) AS first FROM documents) SELECT doc_id % 2 AS archive_id, first, doc_id AS later, md5 FROM m WHERE doc_id <> first")
+def redundant_archives(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select((F.col("doc_id") % 2).alias("archive_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return I.redundant(docs, "doc_id", "text")
+
+
 @query("empty_entries", "SELECT doc_id AS entry_idx, 'dirent ' || doc_id || ' (\"doc/' || doc_id || '\"): empty content' AS message FROM documents WHERE length(trim(regexp_replace(text, '[^%]', '', 'g'))) = 0")
 def empty_entries(spark: SparkSession, d: str) -> DataFrame:
     """Content measured by its percent signs, since no document is empty."""
@@ -271,15 +289,25 @@ def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     return C.with_sizes(rows, archive).select("page_id", "size")
 
 
-@query("cluster_packing", """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, doc_id, CAST(strlen(text) AS BIGINT) AS size FROM documents),
+_PACKING = """WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS k, doc_id, CAST(strlen(text) AS BIGINT) AS size FROM documents),
 p(k, doc_id, cluster, blob, filled) AS (SELECT k, doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), size FROM s WHERE k = 0 UNION ALL
   SELECT s.k, s.doc_id, CASE WHEN p.filled + s.size > 65536 THEN p.cluster + 1 ELSE p.cluster END, CASE WHEN p.filled + s.size > 65536 THEN 0 ELSE p.blob + 1 END, CASE WHEN p.filled + s.size > 65536 THEN s.size ELSE p.filled + s.size END FROM p JOIN s ON s.k = p.k + 1)
-SELECT doc_id, cluster, blob FROM p""")
+SELECT doc_id, cluster, blob FROM p"""
+
+
+@query("cluster_packing", _PACKING)
 def cluster_packing(spark: SparkSession, d: str) -> DataFrame:
     rows = E.numbered(table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size")), ["doc_id"], "k")
     return C.packed(rows, "k", "size", 65536).select("doc_id", "cluster", "blob")
 
 
+@query("cluster_packing_stretches", _PACKING)
+def cluster_packing_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """The same packing, with a task for each hundred documents."""
+    rows = E.numbered(table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size")), ["doc_id"], "k")
+    return C.packed(rows, "k", "size", 65536, stretch=100).select("doc_id", "cluster", "blob")
+
+
 @query("cluster_stats", "SELECT CAST(floor(page_id / 16) AS BIGINT) AS cluster, count(*) AS blobs, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1")
 def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
     return C.cluster_stats(pages(spark, d), "size")

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field, replace
 
 import zstandard
 
+from stacklight.functions.codecs import inflate
+
 from stacklight.sources.multipart import Parts
 
 MAGIC = 0x044D495A
@@ -192,10 +194,14 @@ def decompress(code: int, data: bytes, most: int = MAX_CLUSTER) -> bytes:
         return data
     try:
         if code == ZSTD:
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+            return inflate(data, most, trailing=True)
         if code == XZ:
-            return lzma.LZMADecompressor().decompress(data, most)
-    except (zstandard.ZstdError, lzma.LZMAError) as e:
+            stream = lzma.LZMADecompressor()
+            out = stream.decompress(data, most + 1)
+            if len(out) > most or not stream.eof:
+                raise ValueError("larger than allowed, or cut short")
+            return out
+    except (zstandard.ZstdError, lzma.LZMAError, ValueError) as e:
         raise FormatError(f"cluster cannot be decompressed: {e}") from e
     raise UnsupportedCompression(f"cluster type {code}")
 
@@ -260,7 +266,8 @@ class Archive:
 
     @property
     def archive_id(self) -> str:
-        return self.path.rsplit("/", 1)[-1]
+        """The path, as two folders may hold files of one name."""
+        return self.path
 
     def pointers(self, kind: str, start: int = 0, end: int | None = None) -> tuple[int, ...]:
         pos, count = (self.header.url_ptr_pos, self.header.entry_count) if kind == "entry" else (self.header.cluster_ptr_pos, self.header.cluster_count)

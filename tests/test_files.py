@@ -52,7 +52,7 @@ def test_arriving_archives_are_indexed_once(spark, tmp_path):
         q.awaitTermination()
         assert q.exception() is None
         found = spark.read.parquet(f"{out}/entries")
-        assert {r.archive_id for r in found.select("archive_id").distinct().collect()} == {f"a{j}.zim" for j in range(k + 1)}
+        assert {r.archive_id for r in found.select("archive_id").distinct().collect()} == {f"{tmp_path}/in/a{j}.zim" for j in range(k + 1)}
     assert spark.read.parquet(f"{out}/postings").where("term = 'href'").count() == 4
     assert found.count() == 3 + 4
 
