@@ -15,20 +15,14 @@ from stacklight.session import written
 #: First letters of a bare path that name a namespace in the strict reading.
 LETTERS = "AIJ-MXCW"
 #: Ranges at least and at most, and rows of one between these.
-RANGES, MOST_RANGES, PER_RANGE = 64, 4096, 1 << 20
+RANGES, MOST_RANGES, PER_RANGE = 8, 4096, 1 << 18
 
 
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """`df` with its 0-based position in the order of `keys`, without a window over all rows: rows are dealt to ranges of all keys
-    together, whose bounds come from a sample, numbered there, and shifted by the rows of the ranges before. Ranges grow in number with the rows."""
-    n = df.count()
-    ranges = max(RANGES, min(MOST_RANGES, n // PER_RANGE))
-    place = F.struct(*[F.struct(F.col(k).isNotNull().alias("known"), F.col(k).alias("k")).alias(f"k{i}") for i, k in enumerate(keys)])
-    sample = df.select(place.alias("p")).where(F.rand(3) < min(1.0, 20 * ranges / max(1, n))).groupBy("p").count()
-    w = Window.orderBy("p")  # about 20 rows for each range
-    bounds = sample.select("p", F.row_number().over(w).alias("i")).where("i % 20 = 0").agg(F.sort_array(F.collect_list("p")).alias("__bounds"))
-    dealt = df.crossJoin(F.broadcast(written(bounds, "bounds")))  # one row
-    dealt = dealt.withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= place))).drop("__bounds")
+    """`df` with its 0-based position in the order of `keys`, nulls first, without a window over all rows: rows are written in ranges of all keys
+    together, numbered there, and shifted by the rows of the ranges before. Ranges grow in number with the rows."""
+    ranges = max(RANGES, min(MOST_RANGES, df.count() // PER_RANGE))
+    dealt = written(df.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
     w = Window.partitionBy("__range").orderBy(*[F.col(k).asc_nulls_first() for k in keys])

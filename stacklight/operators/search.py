@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stacklight.functions import text as T
+from stacklight.session import written
 
 K1, B = 1.2, 0.75
 
@@ -35,37 +36,38 @@ def postings(docs: DataFrame, stemmer: T.Stemmer = T.stem, id_col: str = "doc_id
 
 
 def word_forms(tokens: DataFrame, terms: list[str], stemmer: T.Stemmer = T.stem) -> dict[str, list[str]]:
-    """The distinct tokens of each term: inflections, so a few for each. Stems begin like their words, but for the last letter, so
-    only such words are stemmed."""
-    near = F.lit(False)
-    for h in sorted({t[: max(1, len(t.rstrip()) - 1)] for t in terms}):
-        near = near | F.col("token").startswith(h)
-    found = tokens.where(near).distinct().select("token", stemmer(F.col("token")).alias("term")).where(F.col("term").isin(*terms)).collect()
+    """The distinct words of each term in `tokens` (t array<string>): inflections, so a few for each. Stems begin like their words, but for the last
+    letter, so only such words leave their row and are stemmed."""
+    heads = sorted({t[: max(1, len(t.rstrip()) - 1)] for t in terms})
+
+    def near(word: Column) -> Column:
+        out = F.lit(False)
+        for h in heads:
+            out = out | word.startswith(h)
+        return out
+
+    found = tokens.select(F.explode(F.array_distinct(F.filter("t", near))).alias("token")).distinct().select("token", stemmer(F.col("token")).alias("term")).where(F.col("term").isin(*terms)).collect()
     return {t: sorted(r.token for r in found if r.term == t) for t in terms if any(r.term == t for r in found)}
 
 
 def scores(docs: DataFrame, terms: list[str], stemmer: T.Stemmer = T.stem, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of each document that holds one of the terms. A term given twice counts twice.
 
-    The corpus' words that stem to the query's terms are looked up first; the second pass over the texts only compares words, and
-    counts are pre-aggregated before they are shuffled.
+    The corpus' words that stem to the query's terms are looked up first; a second pass over the texts counts them within each row, and writes a
+    small table of lengths and counts, from which statistics and scores are taken. No text or word is shuffled.
     """
     weights: dict[str, int] = {}
     for t in terms:
         weights[t] = weights.get(t, 0) + 1
-    toks = T.tokens(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("doc_id"), toks.alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.explode_outer("t").alias("token"))
+    base = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("t"))
     if not weights:
         return base.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-    if stemmer is T.no_stem:
-        term = F.col("token")
-    else:
-        forms = word_forms(base.select("token"), list(weights), stemmer)
-        term = F.lit(None).cast("string")
-        for t, words in forms.items():
-            term = F.when(F.col("token").isin(*words), t).otherwise(term)
-    counts = [F.count_if(F.col("term") == t).alias(f"tf{i}") for i, t in enumerate(weights)]
-    per_doc = base.withColumn("term", term).groupBy("doc_id").agg(F.max("dl").alias("dl"), *counts)
+    forms = {t: [t] for t in weights} if stemmer is T.no_stem else word_forms(base, list(weights), stemmer)
+    words = sorted({w for ws in forms.values() for w in ws})
+    among = lambda of: lambda w: w.isin(*of)
+    few = base.select("doc_id", F.size("t").cast("long").alias("dl"), F.filter("t", among(words)).alias("t"))
+    counts = [F.size(F.filter("t", among(forms.get(t, [])))).cast("long").alias(f"tf{i}") for i, t in enumerate(weights)]
+    per_doc = written(few.select("doc_id", "dl", *counts), "counts")
     stats = per_doc.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(weights))])
     joined = per_doc.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)

@@ -100,4 +100,4 @@ def test_database_embedded_in_an_archive(spark, tmp_path):
     t = archive(spark, tmp_path / "x.zim", [("C", "a.html", "a", "text/html", b"hello", None), ("X", "fulltext/xapian", "", "application/octet-stream+xapian", data, None)])
     found = G.embedded(t["entries"], t["blobs"])
     assert [tuple(r) for r in G.table(found, "postings").collect()] == [(str(tmp_path / "x.zim"), "hello", 1, 3)]
-    assert [tuple(r) for r in G.table(found, "docdata").collect()] == [("x.zim", 1, "C/a.html")]
+    assert [tuple(r) for r in G.table(found, "docdata").collect()] == [(str(tmp_path / "x.zim"), 1, "C/a.html")]
