@@ -27,17 +27,17 @@ UNKNOWN = "unknown"
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0"],
-    "gpl-2.0": ["licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0"],
-    "lgpl": ["licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1"],
-    "agpl-3.0": ["licensed under the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."],
-    "isc": ["Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Licensed under CC0 1.0.", "Dedicated to the public domain."],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "SPDX-License-Identifier: GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-only"],
+    "gpl-2.0": ["licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-License-Identifier: GPL-2.0-only"],
+    "lgpl": ["licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-3.0", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "agpl-3.0": ["licensed under the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "isc": ["Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Licensed under CC0 1.0.", "Dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
+    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
 
@@ -115,7 +115,7 @@ def _variants(text: str) -> list[str]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scanner:
     """Fits multinomial logistic regression with an L1 penalty on variants of the templates, on NOT_NOTICES and on paragraphs
-    of at most `sample` documents that share under half of any template's word pairs, as unknown.
+    of at most `sample` documents that share under half of any template's word pairs, as unknown; of these at most ten for each document.
 
     The unknown class weighs as much as all families together, so its probability is calibrated to paragraphs that are as
     likely a notice as not.
@@ -166,7 +166,8 @@ def _share(template: list[int]):
 
 def scan(docs: DataFrame, scanner: Scanner, text_col: str = "text") -> DataFrame:
     """`docs` with n_paragraphs and licences, array<struct<paragraph, family, probability, alike>> of each paragraph (a line) that
-    is a notice: its most probable class is a family, at PROBABLE or more, and it has ALIKE or more of a template's pairs.
+    is a notice: its most probable class is a family, at PROBABLE or more, and it has ALIKE or more of a template's pairs. Columns of these
+    names are replaced. An empty table stays empty. A notice that is wrapped over several lines counts only if one of them has so much of it.
 
     Null and empty texts are one empty paragraph without licence. Each row is scanned by itself: repeated rows get equal
     results, no rows meet in a shuffle, long texts take time in proportion, other columns are kept.
