@@ -1,4 +1,5 @@
-"""Licence scan of paragraphs: sparse word n-gram logistic regression with an unknown class, confirmed against templates.
+"""Licence scan of paragraphs: sparse word n-gram logistic regression with an unknown class calibrated on held-out paragraphs,
+confirmed against templates. Notices that are wrapped over several lines are found too.
 
 DataFrame and SQL functions only, training included.
 """
@@ -8,7 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ SAMPLE = 400
 #: A prediction stands if it is at least so probable and the paragraph has at least this share of a template's word pairs.
 PROBABLE, ALIKE = 0.5, 0.8
 UNKNOWN = "unknown"
+#: Lines of at most so many characters may be parts of a wrapped notice, which takes at most so many lines.
+WRAPPED, LINES = 120, 8
+#: Paragraphs of more words are judged in windows of so many, each beginning half a window after the last.
+WINDOW = 150
+#: One in so many training paragraphs is held out for the calibration.
+HELD = 5
 
 #: Notices by licence family, as their publishers word them (fixed values).
 TEMPLATES = {
@@ -83,21 +91,24 @@ class Scanner:
     intercepts: list[float]
     row: list[int]
     weights: list[float]
-
-    def has_evidence(self, feats: Column) -> Column:
-        row = _numbers(self.row, "int")
-        return F.exists(feats, lambda f: F.get(row, f) > 0)
+    #: The calibration: a notice of the best family has probability 1 / (1 + exp(-(scale * margin + shift))).
+    scale: float = 1.0
+    shift: float = 0.0
+    #: The share of the held-out paragraphs that are told rightly.
+    held_out: float = float("nan")
 
     def best(self, feats: Column) -> Column:
-        """struct(p, k): the most probable class."""
+        """struct(p, k): the likeliest family, and the calibrated probability that the paragraph is a notice of it; the
+        rest is the unknown class's. The margin is the family's logit less the unknown class's."""
         k = len(self.families)
         row, weights = _numbers(self.row, "int"), _numbers(self.weights, "double")
 
-        def soft(rows: Column) -> Column:
-            logits = F.array(*[_logit(rows, weights, self.intercepts[j], k, j) for j in range(k)])
-            return let(logits, lambda z: let(F.array_max(z), lambda top: F.struct((1 / F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top))).alias("p"), (F.array_position(z, top) - 1).cast("int").alias("k"))))
+        def told(rows: Column) -> Column:
+            margins = F.array(*[_logit(rows, weights, self.intercepts[j], k, j) for j in range(1, k)])
+            unknown = _logit(rows, weights, self.intercepts[0], k, 0)
+            return let(margins, lambda z: let(F.array_max(z), lambda top: F.struct((1 / (1 + F.exp(-(self.scale * (top - unknown) + self.shift)))).alias("p"), F.array_position(z, top).cast("int").alias("k"))))
 
-        return let(F.filter(F.transform(feats, lambda f: F.get(row, f)), lambda r: r > 0), soft)
+        return let(F.filter(F.transform(feats, lambda f: F.get(row, f)), lambda r: r > 0), told)
 
 
 def _logit(rows: Column, weights: Column, intercept: float, k: int, j: int) -> Column:
@@ -114,30 +125,38 @@ def _variants(text: str) -> list[str]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scanner:
-    """Fits multinomial logistic regression with an L1 penalty on variants of the templates, on NOT_NOTICES and on paragraphs
-    of at most `sample` documents that share under half of any template's word pairs, as unknown; of these at most ten for each document.
+    """Fits multinomial logistic regression with an L1 penalty on variants of the templates, alone and between words of the
+    corpus, and as unknown on NOT_NOTICES and on paragraphs of at most `sample` documents that share under half of any
+    template's word pairs; of these at most ten for each document.
 
-    The unknown class weighs as much as all families together, so its probability is calibrated to paragraphs that are as
-    likely a notice as not.
+    One in HELD of these paragraphs, by hash, takes no part in the fit: the probability that a paragraph is a notice of its best family is
+    calibrated on them, as a logistic function of the margin over the unknown class (Platt's scaling, with smoothed targets). The unknown
+    class weighs as much as all families together, so probabilities hold for paragraphs that are as likely a notice as not.
     """
     spark = docs.sparkSession
     families = [UNKNOWN, *TEMPLATES]
     known = [(families.index(f), v) for f, ts in TEMPLATES.items() for t in ts for v in _variants(t)]
     known += [(0, v) for t in NOT_NOTICES for v in (t, f"{t} {t}")]
-    given = spark.createDataFrame(known, "label int, p string")
+    given = spark.createDataFrame([(n, *x) for n, x in enumerate(known)], "n int, label int, p string")
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
     few = few.join(F.broadcast(few.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)), "id")  # at most `sample` ids
     seen = few.select(F.explode(F.split("t", "\n")).alias("p")).where("length(p) > 0")
-    known_pairs = [t for ts in template_pairs(spark).values() for t in ts]
-    some = F.size(F.array_intersect(_numbers(sorted({h for t in known_pairs for h in t}), "bigint"), F.col("have")))
-    alike = F.when(some > 1, F.greatest(*[_share(t)(F.col("have")) for t in known_pairs])).otherwise(0.0)  # no template has a single pair
-    seen = seen.withColumn("have", pairs(words(F.col("p")))).where(alike < 0.5).orderBy(F.xxhash64("p"), "p").limit(10 * sample).select(F.lit(0).alias("label"), "p")
-    rows = given.unionByName(seen).select("label", let(words(F.col("p")), features).cast("array<string>").alias("f")).where("size(f) > 0")
+    told = [t for ts in template_pairs(spark).values() for t in ts]
+    alike = let(_hits(words(F.col("p")), told), lambda h: F.when(F.size(h) > 1, _most(told)(h)).otherwise(0.0))  # no template has a single pair
+    seen = seen.where(alike < 0.5).orderBy(F.xxhash64("p"), "p").limit(10 * sample)
+    seen = written(seen, "paragraphs")
+    around = seen.select(F.pmod(F.xxhash64("p"), F.lit(len(known))).cast("int").alias("n"), F.array_join(F.slice(F.split("p", " "), 1, 40), " ").alias("a"))
+    around = around.groupBy("n").agg(F.min("a").alias("a"), F.max("a").alias("b"))  # one row for each variant at most
+    mixed = given.join(F.broadcast(around), "n").select("label", F.concat_ws(" ", "a", "p", "b").alias("p"))
+    rows = given.select("label", "p").unionByName(mixed).unionByName(seen.select(F.lit(0).alias("label"), "p"))
+    rows = rows.select("label", (F.pmod(F.xxhash64("p", F.lit("held out")), F.lit(HELD)) == 0).alias("held"), let(words(F.col("p")), features).cast("array<string>").alias("f")).where("size(f) > 0")
     rows = written(rows, "notices")
-    rows = rows.join(F.broadcast(rows.groupBy("label").count()), "label")  # one row for each family
+    rows = rows.join(F.broadcast(rows.groupBy("label", "held").count()), ["label", "held"])  # two rows for each family
     rows = rows.withColumn("w", F.when(F.col("label") == 0, len(TEMPLATES) * 200.0).otherwise(200.0) / F.col("count")).coalesce(1)
-    counter = CountVectorizer(inputCol="f", outputCol="features", minDF=2, binary=True, vocabSize=DIMENSION).fit(rows)
-    model = LogisticRegression(weightCol="w", family="multinomial", regParam=2e-4, elasticNetParam=1.0, standardization=False, maxIter=30).fit(counter.transform(rows).select("label", "features", "w"))
+    fit = rows.where(~F.col("held"))
+    counter = CountVectorizer(inputCol="f", outputCol="features", minDF=2, binary=True, vocabSize=DIMENSION).fit(fit)
+    model = LogisticRegression(weightCol="w", family="multinomial", regParam=2e-4, elasticNetParam=1.0, standardization=False, maxIter=30).fit(counter.transform(fit).select("label", "features", "w"))
+    scale, shift, right = _calibrated(model.transform(counter.transform(rows.where("held")).select("label", "features", "w")))
     matrix = model.coefficientMatrix.toArray()
     k = len(families)
     row, weights = [0] * DIMENSION, [0.0] * k
@@ -146,7 +165,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         if abs(column[1:] - column[0]).max() > 1e-9:
             row[int(name)] = len(weights) // k
             weights += [round(float(x), 6) for x in column]
-    return Scanner(families, [float(x) for x in model.interceptVector], row, weights)
+    return Scanner(families, [float(x) for x in model.interceptVector], row, weights, scale, shift, right)
+
+
+def _calibrated(held: DataFrame) -> tuple[float, float, float]:
+    """(scale, shift) of the calibration and the share of paragraphs told rightly at PROBABLE, from predictions for held-out paragraphs."""
+    logits = held.select("label", "w", vector_to_array("rawPrediction").alias("z")).select("label", "w", F.col("z")[0].alias("u"), F.slice("z", 2, len(TEMPLATES)).alias("z"))
+    top = F.array_max("z")
+    at = logits.select("label", "w", (top - F.col("u")).alias("margin"), (F.array_position("z", top) == F.col("label")).alias("y")).cache()
+    n = at.agg(F.count_if("y").alias("yes"), F.count_if(~F.col("y")).alias("no")).first()
+    target = F.when(F.col("y"), (n.yes + 1) / (n.yes + 2)).otherwise(1 / (n.no + 2))
+    both = at.select("margin", F.explode(F.array(F.struct(F.lit(1.0).alias("is"), (F.col("w") * target).alias("v")), F.struct(F.lit(0.0).alias("is"), (F.col("w") * (1 - target)).alias("v")))).alias("o")).select("margin", "o.*")
+    both = VectorAssembler(inputCols=["margin"], outputCol="features").transform(both)
+    line = LogisticRegression(labelCol="is", weightCol="v", maxIter=50).fit(both)
+    scale, shift = float(line.coefficients[0]), float(line.intercept)
+    sure = 1 / (1 + F.exp(-(scale * F.col("margin") + shift))) >= PROBABLE
+    right = at.agg(F.avg(F.when(sure, F.col("y")).otherwise(F.col("label") == 0).cast("int"))).first()[0]
+    at.unpersist()
+    return scale, shift, float(right)
 
 
 def template_pairs(spark: SparkSession) -> dict[str, list[list[int]]]:
@@ -164,36 +200,77 @@ def _share(template: list[int]):
     return lambda have: F.size(F.array_intersect(_numbers(template, "bigint"), have)) / len(template)
 
 
+def _hits(w: Column, templates: list[list[int]]) -> Column:
+    """The word pairs that any template has. A paragraph with fewer than two has less than ALIKE of every template."""
+    return F.filter(pairs(w), lambda h: h.isin(sorted({h for t in templates for h in t})))
+
+
 def scan(docs: DataFrame, scanner: Scanner, text_col: str = "text") -> DataFrame:
     """`docs` with n_paragraphs and licences, array<struct<paragraph, family, probability, alike>> of each paragraph (a line) that
-    is a notice: its most probable class is a family, at PROBABLE or more, and it has ALIKE or more of a template's pairs. Columns of these
-    names are replaced. An empty table stays empty. A notice that is wrapped over several lines counts only if one of them has so much of it.
+    is a notice: its most probable family has PROBABLE or more, and it has ALIKE or more of one of the family's templates' pairs. Columns of
+    these names are replaced. An empty table stays empty.
+
+    A notice wrapped over lines of at most WRAPPED characters is looked for in the LINES lines from each line that has a
+    template's pair and is no notice by itself; it is told with its first line, unless one of these lines is itself a notice of
+    the family. Of such finds that overlap and are of one family, the one with most of a template counts, the last of equal ones.
+    Comment marks and blank lines between do not matter. In lines of over WINDOW words each window is judged, and the most probable one tells.
 
     Null and empty texts are one empty paragraph without licence. Each row is scanned by itself: repeated rows get equal
     results, no rows meet in a shuffle, long texts take time in proportion, other columns are kept.
     """
     names = F.array(*map(F.lit, scanner.families))
     templates = template_pairs(docs.sparkSession)
+    every = [t for ts in templates.values() for t in ts]
+    none = F.struct(F.lit(False).alias("sure"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("alike"), F.lit(UNKNOWN).alias("family"))
+
+    def judged(w: Column, hits: Column) -> Column:
+        """struct(sure, probability, alike, family) of words."""
+
+        def with_best(b: Column) -> Column:
+            alike = F.lit(0.0)
+            for k, ts in enumerate(templates.values(), 1):
+                alike = F.when(b["k"] == k, _most(ts)(hits)).otherwise(alike)
+            return let(alike, lambda a: F.struct(((b["p"] >= PROBABLE) & (a >= ALIKE)).alias("sure"), b["p"].alias("probability"), a.alias("alike"), F.get(names, b["k"]).alias("family")))
+
+        return F.when(F.size(hits) < 2, none).otherwise(let(features(w), lambda f: let(scanner.best(f), with_best)))
+
+    def windows(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - WINDOW // 2 - 1, F.lit(0)), F.lit(WINDOW // 2))
+        return F.array_max(F.transform(starts, lambda s: let(F.slice(w, s + 1, WINDOW), lambda v: let(_hits(v, every), lambda h: judged(v, h)))))
+
+    def line(text: Column) -> Column:
+        def of(w: Column) -> Column:
+            part = F.when(F.length(text) <= WRAPPED, w).otherwise(F.slice(w, 1, 0))
+            return let(F.size(_hits(w, every)), lambda n: F.struct(part.alias("w"), n.alias("n"), F.when(n < 2, none).otherwise(windows(w)).alias("j")))
+
+        return let(words(text), of)
+
+    def wrapped(lines: Column):
+        def at(x: Column, i: Column) -> Column:
+            begins = (x["n"] > 0) & (F.size(x["w"]) > 0) & ~x["j"]["sure"] & (i + 1 < F.size(lines))
+            return F.when(begins, let(F.flatten(F.transform(F.slice(lines, i + 1, LINES), lambda y: y["w"])), windows)).otherwise(none)
+
+        return at
 
-    def judged(p: Column, i: Column) -> Column:
-        def with_words(w: Column) -> Column:
-            def with_features(f: Column) -> Column:
-                def with_best(b: Column) -> Column:
-                    alike = F.lit(0.0)
-                    for k, ts in enumerate(templates.values(), 1):
-                        alike = F.when(b["k"] == k, let(pairs(w), _most(ts))).otherwise(alike)
-                    return F.struct((i + 0).alias("paragraph"), F.get(names, b["k"]).alias("family"), b["p"].alias("probability"), alike.alias("alike"))
+    def found(lines: Column, over: Column) -> Column:
+        def at(x: Column, i: Column) -> Column:
+            def notice(j: Column) -> Column:
+                return F.struct((i + 0).alias("paragraph"), *[j[c].alias(c) for c in ("family", "probability", "alike")])
 
-                none = F.struct((i + 0).alias("paragraph"), F.lit(UNKNOWN).alias("family"), F.lit(1.0).alias("probability"), F.lit(0.0).alias("alike"))
-                return F.when(scanner.has_evidence(f), let(scanner.best(f), with_best)).otherwise(none)
+            def first(b: Column) -> Column:
+                same = lambda y: y["sure"] & (y["family"] == b["family"])
+                alone = ~F.exists(F.slice(lines, i + 1, LINES), lambda y: same(y["j"]))
+                later = F.exists(F.slice(over, i + 2, LINES - 1), lambda y: same(y) & (y["alike"] >= b["alike"]))
+                earlier = F.exists(F.slice(over, F.greatest(i - LINES + 2, F.lit(1)), F.least(i, F.lit(LINES - 1))), lambda y: same(y) & (y["alike"] > b["alike"]))
+                return F.when(b["sure"] & alone & ~later & ~earlier, notice(b))
 
-            return let(features(w), with_features)
+            return F.when(x["j"]["sure"], notice(x["j"])).otherwise(let(F.get(over, i), first))
 
-        return let(words(p), with_words)
+        return F.filter(F.transform(lines, at), lambda x: x.isNotNull())
 
     paragraphs = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    sure = lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= PROBABLE) & (x["alike"] >= ALIKE)
-    return docs.withColumns({"n_paragraphs": F.size(paragraphs).cast("long"), "licences": F.filter(F.transform(paragraphs, judged), sure)})
+    licences = let(F.transform(paragraphs, line), lambda ls: let(F.transform(ls, wrapped(ls)), lambda over: found(ls, over)))
+    return docs.withColumns({"n_paragraphs": F.size(paragraphs).cast("long"), "licences": licences})
 
 
 def _most(templates: list[list[int]]):
