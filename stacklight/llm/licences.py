@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklight.llm.common import table, written
+from stacklight.llm.common import remove, table, written_at
 from stacklight.llm.oph import let
 
 #: Hashed n-gram features; words of an n-gram at most.
@@ -144,19 +144,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     told = [t for ts in template_pairs(spark).values() for t in ts]
     alike = let(_hits(words(F.col("p")), told), lambda h: F.when(F.size(h) > 1, _most(told)(h)).otherwise(0.0))  # no template has a single pair
     seen = seen.where(alike < 0.5).orderBy(F.xxhash64("p"), "p").limit(10 * sample)
-    seen = written(seen, "paragraphs")
+    seen, seen_at = written_at(seen, "paragraphs")
     around = seen.select(F.pmod(F.xxhash64("p"), F.lit(len(known))).cast("int").alias("n"), F.array_join(F.slice(F.split("p", " "), 1, 40), " ").alias("a"))
     around = around.groupBy("n").agg(F.min("a").alias("a"), F.max("a").alias("b"))  # one row for each variant at most
     mixed = given.join(F.broadcast(around), "n").select("label", F.concat_ws(" ", "a", "p", "b").alias("p"))
     rows = given.select("label", "p").unionByName(mixed).unionByName(seen.select(F.lit(0).alias("label"), "p"))
     rows = rows.select("label", (F.pmod(F.xxhash64("p", F.lit("held out")), F.lit(HELD)) == 0).alias("held"), let(words(F.col("p")), features).cast("array<string>").alias("f")).where("size(f) > 0")
-    rows = written(rows, "notices")
+    rows, rows_at = written_at(rows, "notices")
     rows = rows.join(F.broadcast(rows.groupBy("label", "held").count()), ["label", "held"])  # two rows for each family
     rows = rows.withColumn("w", F.when(F.col("label") == 0, len(TEMPLATES) * 200.0).otherwise(200.0) / F.col("count")).coalesce(1)
     fit = rows.where(~F.col("held"))
     counter = CountVectorizer(inputCol="f", outputCol="features", minDF=2, binary=True, vocabSize=DIMENSION).fit(fit)
     model = LogisticRegression(weightCol="w", family="multinomial", regParam=2e-4, elasticNetParam=1.0, standardization=False, maxIter=30).fit(counter.transform(fit).select("label", "features", "w"))
     scale, shift, right = _calibrated(model.transform(counter.transform(rows.where("held")).select("label", "features", "w")))
+    for path in (seen_at, rows_at):
+        remove(spark, path)
     matrix = model.coefficientMatrix.toArray()
     k = len(families)
     row, weights = [0] * DIMENSION, [0.0] * k
